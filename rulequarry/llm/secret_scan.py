@@ -27,6 +27,10 @@ from rulequarry.llm.common import texts
 BLOCK_IDS = 256
 #: Strings that one literal stretch may stand for before it is cut.
 MAX_STRINGS = 64
+#: Trigrams that a string keeps in its query: the rarest ones; any subset of the mandatory trigrams is sound.
+KEPT_GRAMS = 2
+# Fixed value: the letters of running text from the most to the least frequent, after the space.
+BY_FREQUENCY = " etaoinshrdlcumwfgypbvkjxqz"
 
 
 @dataclass(frozen=True)
@@ -60,6 +64,10 @@ RULES = BASE_RULES + ADDED_RULES
 Query = tuple[frozenset[frozenset[str]], ...]
 
 
+def _rarity(gram: str) -> tuple[int, str]:
+    return -sum(BY_FREQUENCY.find(c) % (len(BY_FREQUENCY) + 1) for c in gram), gram
+
+
 def trigram_query(pattern: str) -> Query:
     """The Boolean trigram query of an expression, on lower-cased text; empty if nothing is mandatory."""
     clauses: list[frozenset[frozenset[str]]] = []
@@ -68,7 +76,9 @@ def trigram_query(pattern: str) -> Query:
     def cut() -> None:
         nonlocal run
         if all(len(s) >= 3 for s in run):
-            clauses.append(frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in run))
+            # A string that contains another adds nothing to the alternatives.
+            least = [s for s in run if not any(x != s and x in s for x in run)]
+            clauses.append(frozenset(frozenset(sorted({s[i : i + 3] for i in range(len(s) - 2)}, key=_rarity)[:KEPT_GRAMS]) for s in least))
         run = {""}
 
     def finite(op, arg) -> set[str] | None:
@@ -127,10 +137,11 @@ def trigram_query(pattern: str) -> Query:
 
 def trigram_index(docs: DataFrame, grams: list[str]) -> DataFrame:
     """(block, gram, postings): for each block of ids, the sorted ids of documents that contain the trigram."""
-    present = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("low"), g))
+    asked = F.array(*map(F.lit, grams))
+    # The lambda over an array of one keeps the lower-cased text from being made anew for every trigram.
+    present = F.transform(F.array(F.lower("text")), lambda low: F.filter(asked, lambda g: F.contains(low, g)))[0]
     return (
         docs.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.lower("text").alias("low"))
         .select("doc_id", F.explode(present).alias("gram"))
         .groupBy(F.floor(F.col("doc_id") / BLOCK_IDS).alias("block"), "gram")
         .agg(F.array_sort(F.collect_set("doc_id")).alias("postings"))
