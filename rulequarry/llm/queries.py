@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rulequarry.llm import secret_scan
+import public_tokenizers
+
+from rulequarry.llm import bpe_lexicon, secret_scan, token_files
 
 
 def _table(spark, sf_dir, name):
@@ -35,7 +37,15 @@ def _op6_sql() -> str:
     FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
 
 
-QUERIES = {"op6_secret_scan": op6_secret_scan}
+def op5_token_files(spark, sf_dir):
+    return token_files.write_and_check(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_bpe_lexicon(spark, sf_dir):
+    return bpe_lexicon.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op5_token_files": op5_token_files, "op9_bpe_lexicon": op9_bpe_lexicon, "op6_secret_scan": op6_secret_scan}
 ORACLES = {"op6_secret_scan": _op6_sql()}
 
 
