@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that vectorised byte kernels take at once; keeps their arrays small and in cache.
 BLOCK_BYTES = 1 << 20
@@ -79,3 +81,24 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         out[heads] = s - np.concatenate(([0], (s + n - 1)[:-1]))
         np.cumsum(out, out=out)
     return out
+
+
+def append(docs: DataFrame, text_col: str, added: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]]) -> DataFrame:
+    """docs with columns computed from text_col, batch by batch; every other column passes through untouched.
+
+    make() runs once a task and gives the function from texts (null: empty) to the added columns. Added names that docs
+    already has are refused.
+    """
+    extra = T.StructType.fromDDL(added)
+    if clash := {f.name.lower() for f in extra} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table already has columns named {sorted(clash)}")
+    at = docs.columns.index(text_col)
+    names = [*docs.columns, *extra.names]
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            given = [x or "" for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *f(given)], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), *extra]))

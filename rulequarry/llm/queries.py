@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rulequarry.llm import bpe_lexicon, secret_scan, token_files
+from rulequarry.llm import bpe_lexicon, decontaminate, secret_scan, token_files, warc
 
 
 def _table(spark, sf_dir, name):
@@ -41,11 +41,19 @@ def op5_token_files(spark, sf_dir):
     return token_files.write_and_check(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.digest(decontaminate.mark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op8_warc(spark, sf_dir):
+    return warc.write_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op9_bpe_lexicon(spark, sf_dir):
     return bpe_lexicon.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op5_token_files": op5_token_files, "op9_bpe_lexicon": op9_bpe_lexicon, "op6_secret_scan": op6_secret_scan}
+QUERIES = {"op5_token_files": op5_token_files, "op9_bpe_lexicon": op9_bpe_lexicon, "op6_secret_scan": op6_secret_scan, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc}
 ORACLES = {"op6_secret_scan": _op6_sql()}
 
 
