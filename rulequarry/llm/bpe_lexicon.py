@@ -40,6 +40,15 @@ COUNTED = 200_000
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Stands above every rank.
+NO_MERGE = 1 << 62
+
+
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - (size - 1).bit_length())).astype(np.int64)
+
+
 def byte_chars() -> dict[int, str]:
     """The character that stands for each byte in the vocabulary file: itself if it prints, else the next from 256."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -69,6 +78,8 @@ class Vocabulary:
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._merges.setdefault(ids[a] << 20 | ids[b], (rank, ids[a + b]))
+        self._byte_ids = np.array(self._byte_id, dtype=np.int64)
+        self._keys, self._pairs = self._pair_table()
         self.words = regex.compile(WORDS)
         self.splits = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.decimal = [b"%d" % i for i in range(size)]
@@ -78,6 +89,87 @@ class Vocabulary:
         ids = [self._byte_id[b] for b in word]
         return self._merge_long(ids) if len(ids) > 64 else self._merge_short(ids)
 
+    def _pair_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """An open hash table of pairs: keys (a << 20 | b), and values (rank << 20 | joined id)."""
+        size = 1 << (max(4, len(self._merges)) * 4 - 1).bit_length()
+        keys, values = np.full(size, -1, dtype=np.int64), np.full(size, NO_MERGE, dtype=np.int64)
+        left = np.fromiter(self._merges, dtype=np.int64, count=len(self._merges))
+        value = np.array([r << 20 | i for r, i in self._merges.values()], dtype=np.int64)
+        at = _slot(left, size)
+        while len(left):
+            # Each free slot takes one key; the others try the next slot.
+            free = keys[at] < 0
+            _, one = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            one = one[free[one]]
+            keys[at[one]], values[at[one]] = left[one], value[one]
+            rest = np.ones(len(left), dtype=bool)
+            rest[one] = False
+            left, value, at = left[rest], value[rest], (at[rest] + 1) & (size - 1)
+        return keys, values
+
+    def _values(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """rank << 20 | joined id of each pair, NO_MERGE where there is none or an id is negative."""
+        key = a.astype(np.int64) << 20 | b
+        key[(a < 0) | (b < 0)] = -2
+        out = np.full(len(key), NO_MERGE, dtype=np.int64)
+        live, at = np.flatnonzero(key >= 0), None
+        at = _slot(key[live], len(self._keys))
+        while len(live):
+            there = self._keys[at]
+            same = there == key[live]
+            out[live[same]] = self._pairs[at[same]]
+            on = ~same & (there >= 0)
+            live, at = live[on], (at[on] + 1) & (len(self._keys) - 1)
+        return out
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The ids of many words as little-endian 32-bit integers; words of like length are merged side by side."""
+        out: list[bytes] = [b""] * len(words)
+        for least, most in ((1, 8), (9, 16), (17, 40)):
+            some = [i for i, w in enumerate(words) if least <= len(w) <= most]
+            for a in range(0, len(some), 1 << 14):
+                part = some[a : a + (1 << 14)]
+                for i, ids in zip(part, self._merge_grid([words[i] for i in part], most), strict=True):
+                    out[i] = ids
+        for i, w in enumerate(words):
+            if len(w) > 40:
+                out[i] = np.array(self.merge(w), dtype="<i4").tobytes()
+        return out
+
+    def _merge_grid(self, words: list[bytes], width: int) -> list[bytes]:
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        grid = self._byte_ids[np.frombuffer(b"".join([w.ljust(width + 1, b"\0") for w in words]), dtype=np.uint8)].reshape(-1, width + 1)
+        grid[np.arange(width + 1) >= sizes[:, None]] = -1
+        value = self._values(grid[:, :-1].reshape(-1), grid[:, 1:].reshape(-1)).reshape(-1, width)
+        column = np.arange(width + 1)
+        live = np.arange(len(words))
+        while len(live):
+            at = value[live].argmin(axis=1)
+            best = value[live, at]
+            live, at, best = live[go := best != NO_MERGE], at[go], best[go]
+            if not len(live):
+                break
+            # The pair's place takes the joined id; what stands behind moves one to the left.
+            move = column[None, :] + (column[None, :] > at[:, None])
+            np.minimum(move, width, out=move)
+            rows = np.take_along_axis(grid[live], move, axis=1)
+            rows[np.arange(len(live)), at] = best & 0xFFFFF
+            rows[:, -1] = -1
+            grid[live] = rows
+            ranks = np.take_along_axis(value[live], np.minimum(move[:, :-1], width - 1), axis=1)
+            ranks[:, -1] = NO_MERGE
+            each = np.arange(len(live))
+            ranks[each, at] = self._values(rows[each, at], rows[each, at + 1])
+            before = np.maximum(at - 1, 0)
+            left = self._values(rows[each, before], rows[each, at])
+            has = at > 0
+            ranks[each[has], before[has]] = left[has]
+            value[live] = ranks
+            sizes[live] -= 1
+        flat = grid.astype("<i4")
+        data, step = flat.tobytes(), 4 * (width + 1)
+        return [data[k * step : k * step + 4 * n] for k, n in enumerate(sizes.tolist())]
+
     def _merge_short(self, ids: list[int]) -> list[int]:
         get = self._merges.get
         while len(ids) > 1:
@@ -317,14 +409,15 @@ class Encoder:
         pieces = [self.vocab.pieces(u) for u in units]
         distinct = list({p for x in pieces for p in x})
         words = [p.encode() for p in distinct]
-        offset, ids, ids_of = self.lexicon.offset, self.lexicon.ids, {}
-        for piece, word, k in zip(distinct, words, self.lexicon.find(words).tolist(), strict=True):
+        offset, ids, ids_of, unseen = self.lexicon.offset, self.lexicon.ids, {}, []
+        for i, (piece, k) in enumerate(zip(distinct, self.lexicon.find(words).tolist(), strict=True)):
             if piece in self.vocab.special:
                 ids_of[piece] = self.vocab.special[piece].to_bytes(4, "little")
             elif k >= 0:
                 ids_of[piece] = ids[offset[k] : offset[k + 1]].tobytes()
             else:
-                ids_of[piece] = np.array(self.vocab.merge(word), dtype="<i4").tobytes()
+                unseen.append(i)
+        ids_of.update(zip([distinct[i] for i in unseen], self.vocab.merge_many([words[i] for i in unseen]), strict=True))
         return [b"".join(map(ids_of.__getitem__, x)) for x in pieces]
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:

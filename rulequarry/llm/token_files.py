@@ -25,6 +25,8 @@ from rulequarry.llm.units import UnitEncoder
 END_ID = 0
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
+#: Units that are encoded as one text.
+JOINED_UNITS = 4096
 
 _ENCODERS: dict[str, UnitEncoder] = {}
 
@@ -38,9 +40,31 @@ def _encoder(vocabulary: str) -> UnitEncoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def units(batch: list[str]) -> list[bytes]:
+        size = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], dtype=np.int64)
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+        def alone(batch: list[str]) -> list[bytes]:
             return [np.array(e.ids, dtype="<i4").tobytes() for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
+        def units(batch: list[str]) -> list[bytes]:
+            """Units that begin with a lone space are encoded as one long text, and told apart by the bytes of their ids."""
+            out: list[bytes | None] = [None] * len(batch)
+            joined = [i for i, u in enumerate(batch) if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace() and not any(x in u for x in special)]
+            for a in range(0, len(joined), JOINED_UNITS):
+                some = joined[a : a + JOINED_UNITS]
+                ids = np.array(tokenizer.encode_batch_fast(["".join([batch[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<i4")
+                ends = np.cumsum([len(batch[i].encode()) for i in some])
+                at = np.searchsorted(np.cumsum(size[ids]), ends)
+                if not len(ids) or at[-1] != len(ids) - 1:
+                    raise ValueError("the vocabulary's tokens do not add up to the text")
+                data = ids.tobytes()
+                for i, x, y in zip(some, [0, *(at[:-1] + 1).tolist()], (at + 1).tolist(), strict=True):
+                    out[i] = data[4 * x : 4 * y]
+            rest = [i for i, x in enumerate(out) if x is None]
+            for i, x in zip(rest, alone([batch[i] for i in rest]), strict=True):
+                out[i] = x
+            return out
+
         _ENCODERS[vocabulary] = UnitEncoder(units)
     return _ENCODERS[vocabulary]
 

@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 
 #: Distinct units that an encoder remembers before it starts afresh; bounds its memory.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 #: Longer units are not remembered.
 LONG_UNIT = 64
 
@@ -25,6 +25,7 @@ class UnitEncoder:
         self._encode_units = encode_units
         self._remembered = remembered
         self._known: dict[str, bytes] = {}
+        self._firsts: dict[str, bytes] = {}
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         """Encodes units that follow a space; returns those that must not be remembered."""
@@ -38,6 +39,15 @@ class UnitEncoder:
                 self._known[u] = ids
         return passing
 
+    def _first_units(self, units: list[str]) -> list[bytes]:
+        new = list({u for u in units if u not in self._firsts})
+        found = dict(zip(new, self._encode_units(new), strict=True))
+        out = [self._firsts.get(u) or found.get(u, b"") for u in units]
+        if len(self._firsts) + len(found) > self._remembered // 8:
+            self._firsts.clear()
+        self._firsts.update((u, ids) for u, ids in found.items() if len(u) <= LONG_UNIT)
+        return out
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         out = []
@@ -53,21 +63,20 @@ class UnitEncoder:
 
     def _some(self, batch: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in batch]
-        firsts = self._encode_units([u[0] for u in split])
-        new: set[str] = set()
+        firsts = self._first_units([u[0] for u in split])
+        known, new = self._known, set()
         for k, units in enumerate(split):
-            fresh = set(units[1:]) - self._known.keys()
+            fresh = {u for u in units[1:] if u not in known}
             if units[0] == "" and len(units) > 1 or units[0][-1:].isspace() or any(not u or u[0].isspace() or u[-1].isspace() for u in fresh):
                 split[k] = units = _BETWEEN.split(batch[k])
                 firsts[k] = self._encode_units(units[:1])[0]
-                fresh = set(units[1:]) - self._known.keys()
+                fresh = {u for u in units[1:] if u not in known}
             new |= fresh
-        needed = set().union(*(s[1:] for s in split)) if len(self._known) + len(new) > self._remembered else new
-        passing = self._learn(list(needed))
-        known = self._known if not passing else self._known | passing if len(passing) * 50 > len(self._known) else None
-        if known is None:
-            known = _Both(self._known, passing)
-        return [first + b"".join(map(known.__getitem__, units[1:])) for first, units in zip(firsts, split, strict=True)]
+        if len(known) + len(new) > self._remembered:
+            new = set().union(*(s[1:] for s in split))
+        passing = self._learn(list(new))
+        get = _Both(known, passing).__getitem__ if passing else known.__getitem__
+        return [first + b"".join(map(get, units[1:])) for first, units in zip(firsts, split, strict=True)]
 
 
 class _Both:

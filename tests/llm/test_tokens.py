@@ -63,3 +63,10 @@ def test_op5_round_trip(spark, rows):
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, token_files.write_and_check(docs, PATH).collect())) == expected
+
+
+def test_words_merged_side_by_side():
+    vocab = bpe_lexicon.Vocabulary(PATH)
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.choice(list(b" abcdethinou'\xc3\xa9"), rng.integers(0, 60))) for _ in range(3000)]
+    assert vocab.merge_many(words) == [np.array(vocab.merge(w), dtype="<i4").tobytes() for w in words]
