@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rulequarry.llm import bpe_lexicon, decontaminate, minhash_forest, secret_scan, token_files, warc
+from rulequarry.llm import bpe_lexicon, decontaminate, minhash_forest, quality, secret_scan, token_files, toxicity, warc
 
 
 def _table(spark, sf_dir, name):
@@ -41,6 +41,11 @@ def op1_minhash_forest(spark, sf_dir):
     return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality.predictions(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_token_files(spark, sf_dir):
     return token_files.write_and_check(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,7 +62,12 @@ def op9_bpe_lexicon(spark, sf_dir):
     return bpe_lexicon.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_minhash_forest": op1_minhash_forest, "op5_token_files": op5_token_files, "op9_bpe_lexicon": op9_bpe_lexicon, "op6_secret_scan": op6_secret_scan, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc}
+def op10_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.predictions(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op3_quality": op3_quality, "op10_toxicity": op10_toxicity, "op1_minhash_forest": op1_minhash_forest, "op5_token_files": op5_token_files, "op9_bpe_lexicon": op9_bpe_lexicon, "op6_secret_scan": op6_secret_scan, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc}
 ORACLES = {"op6_secret_scan": _op6_sql()}
 
 
