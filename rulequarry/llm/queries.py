@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rulequarry.llm import bpe_lexicon, decontaminate, minhash_forest, quality, secret_scan, token_files, toxicity, warc
+from rulequarry.llm import bpe_lexicon, decontaminate, kdtree_topk, minhash_forest, quality, secret_scan, token_files, toxicity, warc
 
 
 def _table(spark, sf_dir, name):
@@ -46,6 +46,15 @@ def op3_quality(spark, sf_dir):
     return quality.predictions(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_kdtree_topk(spark, sf_dir):
+    return kdtree_topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
 def op5_token_files(spark, sf_dir):
     return token_files.write_and_check(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -67,8 +76,8 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.predictions(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_quality": op3_quality, "op10_toxicity": op10_toxicity, "op1_minhash_forest": op1_minhash_forest, "op5_token_files": op5_token_files, "op9_bpe_lexicon": op9_bpe_lexicon, "op6_secret_scan": op6_secret_scan, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc}
-ORACLES = {"op6_secret_scan": _op6_sql()}
+QUERIES = {"op4_kdtree_topk": op4_kdtree_topk, "op3_quality": op3_quality, "op10_toxicity": op10_toxicity, "op1_minhash_forest": op1_minhash_forest, "op5_token_files": op5_token_files, "op9_bpe_lexicon": op9_bpe_lexicon, "op6_secret_scan": op6_secret_scan, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc}
+ORACLES = {"op4_kdtree_topk": OP4_SQL, "op6_secret_scan": _op6_sql()}
 
 
 def queries() -> dict:
