@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rulequarry.llm import bpe_lexicon, decontaminate, kdtree_topk, minhash_forest, quality, secret_scan, token_files, toxicity, warc
+from rulequarry.llm import bpe_lexicon, decontaminate, kdtree_topk, minhash_forest, quality, secret_scan, suffix_dedup, token_files, toxicity, warc
+from rulequarry.llm.common import ship
 
 
 def _table(spark, sf_dir, name):
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +43,10 @@ def op1_minhash_forest(spark, sf_dir):
     return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.strip(_table(spark, sf_dir, "documents")))
+
+
 def op3_quality(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return quality.predictions(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -76,7 +82,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.predictions(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op4_kdtree_topk": op4_kdtree_topk, "op3_quality": op3_quality, "op10_toxicity": op10_toxicity, "op1_minhash_forest": op1_minhash_forest, "op5_token_files": op5_token_files, "op9_bpe_lexicon": op9_bpe_lexicon, "op6_secret_scan": op6_secret_scan, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc}
+QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op4_kdtree_topk": op4_kdtree_topk, "op3_quality": op3_quality, "op10_toxicity": op10_toxicity, "op1_minhash_forest": op1_minhash_forest, "op5_token_files": op5_token_files, "op9_bpe_lexicon": op9_bpe_lexicon, "op6_secret_scan": op6_secret_scan, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc}
 ORACLES = {"op4_kdtree_topk": OP4_SQL, "op6_secret_scan": _op6_sql()}
 
 
