@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -439,16 +440,20 @@ def _encoder(vocabulary: str, name: str) -> Encoder:
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
-    """(doc_id, ids array<int>) of every text."""
+    """(doc_id, n_tokens, ids) of every text."""
     rows = texts(docs, id_col, text_col)
     name = build_lexicon(rows, vocabulary, words)
 
     def run(batches):
         encoder = _encoder(vocabulary, name)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": encoder.encode(pdf["text"].tolist())})
-
-    return rows.mapInPandas(run, "doc_id long, ids array<int>")
+        for batch in batches:
+            ids = encoder.encode(batch.column("text").to_pylist())
+            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            offsets = np.concatenate(([0], np.cumsum(n)))
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)], names=["doc_id", "n_tokens", "ids"])
+
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
