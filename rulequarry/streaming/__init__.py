@@ -1,0 +1 @@
+"""Rules are yielded one by one by operators.miner.discover(); the engine has no unbounded inputs, so no streams."""
