@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import texts
+from rulequarry.llm.common import stored, texts
 from rulequarry.llm.units import UnitEncoder
 
 #: Frequent words that the lexicon holds; bounds the file and what the driver reads.
@@ -390,7 +390,17 @@ def count_words(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS) -> str:
     """Compiles the most frequent words and gives the file to all executors; returns its name for SparkFiles."""
-    top = count_words(docs, vocabulary).where(F.length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    counts = stored(count_words(docs, vocabulary).where(F.length("word") <= WORD_BYTES), "words")
+    # How many words are how frequent, by eighths of a power of two: a few hundred rows. The cut is the lowest one above
+    # which no more than `words` words lie, so no more than those come to the driver.
+    grade = F.floor(8 * F.log2("n"))
+    cut, above = None, 0
+    for r in sorted(counts.groupBy(grade.alias("grade")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        above += r["n"]
+        if above > words:
+            break
+        cut = r["grade"]
+    top = counts.where(grade >= cut).select("word").collect() if cut is not None else []
     vocab = Vocabulary(vocabulary)
     lexicon = Lexicon.build({bytes(r["word"]): vocab.merge(bytes(r["word"])) for r in top})
     path = os.path.join(tempfile.mkdtemp(), f"lexicon-{uuid.uuid4().hex}.bin")
