@@ -49,7 +49,9 @@ def _encoder(vocabulary: str) -> UnitEncoder:
         def units(batch: list[str]) -> list[bytes]:
             """Units that begin with a lone space are encoded as one long text, and told apart by the bytes of their ids."""
             out: list[bytes | None] = [None] * len(batch)
-            joined = [i for i, u in enumerate(batch) if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace() and not any(x in u for x in special)]
+            joined = [i for i, u in enumerate(batch) if u[:1] == " " and len(u.strip()) == len(u) - 1 > 0]
+            if any(x in "".join(batch) for x in special):
+                joined = [i for i in joined if not any(x in batch[i] for x in special)]
             for a in range(0, len(joined), JOINED_UNITS):
                 some = joined[a : a + JOINED_UNITS]
                 ids = np.array(tokenizer.encode_batch_fast(["".join([batch[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<i4")

@@ -33,7 +33,7 @@ class UnitEncoder:
             self._known.clear()
         passing = {}
         for u, ids in zip(units, self._encode_units([" " + u for u in units]), strict=True):
-            if len(u) > LONG_UNIT or not u or u[0].isspace() or u[-1].isspace():
+            if len(u) > LONG_UNIT or not u or len(u.strip()) < len(u):
                 passing[u] = ids
             else:
                 self._known[u] = ids
@@ -67,7 +67,7 @@ class UnitEncoder:
         known, new = self._known, set()
         for k, units in enumerate(split):
             fresh = {u for u in units[1:] if u not in known}
-            if units[0] == "" and len(units) > 1 or units[0][-1:].isspace() or any(not u or u[0].isspace() or u[-1].isspace() for u in fresh):
+            if units[0] == "" and len(units) > 1 or units[0][-1:].isspace() or "" in fresh or any(len(u.strip()) < len(u) for u in fresh):
                 split[k] = units = _BETWEEN.split(batch[k])
                 firsts[k] = self._encode_units(units[:1])[0]
                 fresh = {u for u in units[1:] if u not in known}
