@@ -28,7 +28,7 @@ K = 5
 EVERY = 50
 SCALE = 256
 #: Vectors of a shard, about; and of a leaf.
-SHARD = 4096
+SHARD = 2048
 LEAF = 64
 #: Queries that a shard answers at once.
 BATCH = 512
@@ -144,17 +144,16 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
     sound = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = table.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("_v")).groupBy("vec_id").agg(F.min("_v").alias(vector_col))
     vectors = stored(rows.select("vec_id", whole.alias("v"), F.size(vector_col).alias("d")), "vectors")
-    sizes = vectors.groupBy("d").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
-    dealt = vectors.join(sizes, "d")
+    shards = max(1, -(-vectors.count() // shard_size))
     # A shard's number leads with the length, so vectors of different lengths never meet.
     number = lambda part: F.concat_ws(":", "d", part.cast("string"))
-    home = F.pmod(F.xxhash64("vec_id"), F.col("shards"))
-    placed = dealt.select("vec_id", "v", "d", "shards", number(home).alias("shard"))
+    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
+    placed = vectors.select("vec_id", "v", "d", home.alias("home"), number(home).alias("shard"))
     queries = placed.where(F.col("vec_id") % every == 0)
     first = stored(_run(placed, queries.withColumn("least", F.lit(None).cast("double")), k), "home")
     kth = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("kth")).cast("double").alias("least"))
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda i: F.concat_ws(":", F.col("d"), i.cast("string")) != F.col("shard")))
-    rest = queries.select("vec_id", "v", "d", others.alias("other"), "shard").select("vec_id", "v", number(F.col("other")).alias("shard")).join(kth, F.col("vec_id") == F.col("query_id"), "left").select("shard", "vec_id", "v", "least")
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda i: i != F.col("home")))
+    rest = queries.select("vec_id", "v", "d", others.alias("other")).select("vec_id", "v", number(F.col("other")).alias("shard")).join(kth, F.col("vec_id") == F.col("query_id"), "left").select("shard", "vec_id", "v", "least")
     found = first.unionByName(_run(placed, rest, k))
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
