@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rulequarry.catalog import Catalog, ForeignKey, star
 from rulequarry.functions import text
 from rulequarry.functions.relations import parse_dependency
-from rulequarry.operators import audit, evidence, joinability, miner, triples
+from rulequarry.operators import audit, evidence, joinability, miner, triple_rules, triples
 from rulequarry.operators.lattice import Graph, Names, candidates, edges, foreign_key_pairs, horn_key, horn_splits
 from rulequarry.plans.conjunctive import Planner, Query
 from rulequarry.sources import rdf
@@ -266,6 +266,33 @@ def triple_predicate_counts(spark, sf_dir):
     return triples.predicate_counts(triples.triples(star(spark, sf_dir, ("nation", "region"))))
 
 
+_FACTS = "(SELECT 'n' || n_nationkey AS s, 'in' AS p, 'r' || n_regionkey AS o FROM nation UNION SELECT 'r' || n_regionkey, 'has', 'n' || n_nationkey FROM nation WHERE n_nationkey % 3 <> 0 UNION SELECT 'c' || c_custkey, 'lives', 'n' || c_nationkey FROM customer WHERE c_custkey < 300 UNION SELECT 'c' || c_custkey, 'region', 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 200)"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for t in ("nation", "customer"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"_facts_{t}")
+    return spark.sql(f"SELECT * FROM {_FACTS.replace('FROM nation', 'FROM _facts_nation').replace('FROM customer JOIN nation', 'FROM _facts_customer JOIN _facts_nation').replace('FROM customer', 'FROM _facts_customer')}")
+
+
+def _rules_sql(bodies: str, keys: str) -> str:
+    return f"WITH f AS {_FACTS}, w AS (SELECT p, s AS x, o AS y FROM f UNION ALL SELECT p || '^-1', o, s FROM f), b AS ({bodies}), z AS (SELECT {keys}, count(*) AS n FROM b GROUP BY ALL), u AS (SELECT {keys}, f.p AS head, count(*) AS support FROM b JOIN f ON f.s = x AND f.o = y GROUP BY ALL), k AS (SELECT {keys}, h.p AS head, count(*) AS n FROM b JOIN (SELECT DISTINCT p, s FROM f) h ON h.s = x GROUP BY ALL), t AS (SELECT p AS head, count(*) AS n FROM f GROUP BY ALL) SELECT {keys}, head, support, round(support / t.n, 12) AS head_coverage, round(support / z.n, 12) AS std_confidence, round(support / k.n, 12) AS pca_confidence FROM u JOIN z USING ({keys}) JOIN k USING ({keys}, head) JOIN t USING (head)"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 12) for c in ("head_coverage", "std_confidence", "pca_confidence")})
+
+
+@query("SELECT * FROM (" + _rules_sql("SELECT DISTINCT p AS body, x, y FROM w", "body") + ") WHERE body <> head")
+def triple_rule_implications(spark, sf_dir):
+    return _rounded(triple_rules.implications(_facts(spark, sf_dir)))
+
+
+@query(_rules_sql("SELECT DISTINCT a.p AS body_1, c.p AS body_2, a.x, c.y FROM w a JOIN w c ON a.y = c.x", "body_1, body_2"))
+def triple_rule_chains(spark, sf_dir):
+    return _rounded(triple_rules.chains(_facts(spark, sf_dir)))
+
+
 # --- mined rules -------------------------------------------------------------------------------------------------
 
 
