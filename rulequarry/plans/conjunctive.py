@@ -153,8 +153,10 @@ class Planner:
         query = Query(tuple(dict.fromkeys((*query.occurrences, *sorted(unknown - set(query.occurrences))))), query.equalities, query.project, query.disjoint)
         apart = self._repeated(query)
         reduced = distinct and bool(query.project)
-        scans = {o: self._scan(query, o, apart, reduced) for o in query.occurrences}
         order = self._tree(query, apart) if reduced and self.semijoins else None
+        # In a chain of semi-joins repeats do no harm, so only the leaves, which are shuffled whole, are reduced first.
+        inner = {near for _, near in order} if order is not None else set()
+        scans = {o: self._scan(query, o, apart, reduced and o not in inner) for o in query.occurrences}
         if order is not None:
             for leaf, near in order:
                 on = [self._equal(a, b) for a, b in self._join_terms(query, {near}, leaf)]
