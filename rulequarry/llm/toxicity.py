@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from rulequarry.llm.common import append, held_out
 from rulequarry.llm.linear import sample
+from rulequarry.llm.minhash_forest import _some
 
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 20_000
@@ -49,33 +50,45 @@ def _grams(chars: np.ndarray):
 
 
 def _blocks(batch: list[str]):
-    """(first text, offsets of texts, code points of the texts with a space around each)."""
-    at = 0
-    while at < len(batch):
-        size, to = 0, at
-        while to < len(batch) and (to == at or size + len(batch[to]) <= BLOCK_CHARS):
-            size += len(batch[to]) + 1
-            to += 1
-        some = [f" {t.lower()}" for t in batch[at:to]]
-        chars = np.frombuffer((" ".join(some) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        yield at, np.concatenate(([0], np.cumsum([len(t) + 1 for t in some]))), chars
-        at = to
-
-
-def present(batch: list[str], slot: np.ndarray):
-    """(text, feature) pairs, each once: slot gives the feature of a hashed n-gram, or -1."""
-    owners, features = [], []
-    for first, at, chars in _blocks(batch):
+    """(texts of the segments, offsets of the segments, code points): a text is a segment with a space at either end.
+
+    A longer text than a block is cut into segments that overlap by an n-gram less one code point.
+    """
+    owners, parts, size = [], [], 0
+
+    def block():
+        chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return np.array(owners), np.concatenate(([0], np.cumsum([len(p) for p in parts]))), chars
+
+    for i, text in enumerate(batch):
+        whole = f" {text.lower()} "
+        for k in range(0, max(1, len(whole) - max(SIZES) + 1), BLOCK_CHARS):
+            part = whole[k : k + BLOCK_CHARS + max(SIZES) - 1]
+            if parts and size + len(part) > BLOCK_CHARS:
+                yield block()
+                owners, parts, size = [], [], 0
+            owners.append(i)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield block()
+
+
+def present(batch: list[str], slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) pairs, each once, by text: slot gives the feature of a hashed n-gram, or -1."""
+    out = []
+    for owners, at, chars in _blocks(batch):
+        found = []
         for size, grams in _grams(chars):
             feature = slot[grams]
             place = np.flatnonzero(feature >= 0)
-            owner = np.searchsorted(at, place, side="right") - 1
-            inside = (owner < len(at) - 1) & (place + size <= at[np.minimum(owner + 1, len(at) - 1)])
-            owners.append(owner[inside] + first)
-            features.append(feature[place[inside]])
-    if not owners:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    pairs = np.unique(np.concatenate(owners).astype(np.int64) << 32 | np.concatenate(features).astype(np.int64))
+            segment = np.searchsorted(at, place, side="right") - 1
+            inside = place + size <= at[segment + 1]
+            found.append(owners[segment[inside]] << 32 | feature[place[inside]].astype(np.int64))
+        out.append(np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64))
+    pairs = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+    if (pairs[1:] <= pairs[:-1]).any():  # a text in several blocks
+        pairs = np.unique(pairs)
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
@@ -83,16 +96,18 @@ def _counts(rows: DataFrame) -> DataFrame:
     """(gram, pos, neg): the rows of each class that hold a hashed n-gram."""
 
     def run(batches):
-        own = np.arange(1 << HASH_BITS, dtype=np.int64)
-        counts = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
+        own = np.arange(1 << HASH_BITS, dtype=np.int32)
+        counts = np.zeros((2, 1 << HASH_BITS), dtype=np.int32)
         for pdf in batches:
             given, label = pdf["text"].tolist(), pdf["label"].to_numpy()
-            for a in range(0, len(given), 64):
-                text, gram = present(given[a : a + 64], own)
+            for a, b in _some(given):
+                text, gram = present(given[a:b], own)
                 for c in (0, 1):
-                    counts[c] += np.bincount(gram[label[a : a + 64][text] == c], minlength=1 << HASH_BITS)
+                    counts[c] += np.bincount(gram[label[a:b][text] == c], minlength=1 << HASH_BITS).astype(np.int32)
         some = np.flatnonzero(counts.sum(axis=0))
-        yield pd.DataFrame({"gram": some, "pos": counts[1][some], "neg": counts[0][some]})
+        for a in range(0, len(some), 1 << 18):
+            part = some[a : a + (1 << 18)]
+            yield pd.DataFrame({"gram": part, "pos": counts[1][part], "neg": counts[0][part]})
 
     return rows.mapInPandas(run, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
