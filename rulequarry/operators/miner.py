@@ -11,6 +11,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,10 @@ from rulequarry.operators.lattice import Candidate, Graph, Names, candidates, di
 from rulequarry.plans.conjunctive import Planner, Query
 
 
+#: Distinct rows of a table's joinable columns that one partition holds.
+SMALL_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """support: distinct head assignments with a witness; confidence: diagnostic, never a filter.
@@ -108,8 +113,17 @@ def discover(catalog: Catalog, settings: Settings | None = None, should_stop: Ca
     over = lambda: bool(should_stop and should_stop()) or s.timeout is not None and time.monotonic() - began > s.timeout
     if over():
         return
-    names, planner = Names(catalog), Planner(catalog)
+    names = Names(catalog)
     pairs = foreign_key_pairs(catalog) if s.joinability == "fk" else joinability.overlapping_pairs(catalog)
+    narrow, held = _narrowed(catalog, pairs)
+    try:
+        yield from _search(Planner(narrow), names, pairs, s, over)
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def _search(planner: Planner, names: Names, pairs: list, s: Settings, over: Callable[[], bool]) -> Iterator[Rule]:
     graph = Graph(edges(names, pairs, s.walk_length, s.max_nb_occurrence_per_table_and_column))
     found = list(candidates(graph, s.max_tables, s.max_variables))
     levels: dict[int, list[int]] = defaultdict(list)
@@ -144,6 +158,25 @@ def discover(catalog: Catalog, settings: Settings | None = None, should_stop: Ca
                 yield Rule(display(c, head, names), support, ratio(both, star), ratio(both, exact), tuple(map(atom, body)), atom(head))
 
 
+def _narrowed(catalog: Catalog, pairs: list) -> tuple[Catalog, list[DataFrame]]:
+    """The tables that joinable columns belong to, reduced to the distinct rows of those columns and the keys, and kept.
+
+    Hundreds of counts read them. A table of at most SMALL_ROWS such rows is one partition, so that no count over small
+    tables needs a shuffle; larger ones stay as Spark deals them. Returns what to release in the end.
+    """
+    used: dict[str, set[str]] = defaultdict(set)
+    for pair in pairs:
+        for t, c in pair:
+            used[t].add(c)
+    tables, held = {}, []
+    for t, columns in used.items():
+        columns |= set(catalog.primary_keys.get(t, ()))
+        df = catalog.tables[t].select(*[F.col(f"`{c}`") for c in catalog.columns(t) if c in columns]).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(df)
+        tables[t] = df.coalesce(1) if df.count() <= SMALL_ROWS else df
+    return Catalog(catalog.tables | tables, catalog.primary_keys, catalog.foreign_keys, catalog.name), held
+
+
 RULES = "rule_id int, display string, head_relation string, body_size int, support long, confidence double, confidence_exact double"
 
 
