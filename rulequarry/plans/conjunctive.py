@@ -182,8 +182,36 @@ class Planner:
         return out.distinct() if distinct else out
 
     def count(self, query: Query, distinct: bool = True) -> DataFrame:
-        """One row `n`. Without a projection every match counts; null counts as a value."""
-        return self.rows(query, distinct).agg(F.count("*").alias("n"))
+        """One row `n`. Without a projection every match counts; null counts as a value.
+
+        Distinct rows over occurrences that nothing links are counted apart and multiplied, never crossed.
+        """
+        parts = self._unlinked(query) if distinct and query.project else [query]
+        if len(parts) < 2:
+            return self.rows(query, distinct).agg(F.count("*").alias("n"))
+        out = None
+        for part in parts:
+            one = (self.rows(part) if part.project else self.rows(part, False).limit(1)).agg(F.count("*").alias("m"))
+            out = one.select(F.col("m").alias("n")) if out is None else out.crossJoin(one).select((F.col("n") * F.col("m")).alias("n"))
+        return out
+
+    def _unlinked(self, query: Query) -> list[Query]:
+        """The query's parts that share no equality and no disjointness; itself if all its occurrences are linked."""
+        terms = [t for e in query.equalities for t in e] + list(query.project)
+        occurrences = tuple(dict.fromkeys((*query.occurrences, *(t[:2] for t in terms))))
+        group = {o: {o} for o in occurrences}
+        pairs = [(a[:2], b[:2]) for a, b in query.equalities]
+        if query.disjoint:
+            pairs += [(o, u) for i, o in enumerate(occurrences) for u in occurrences[i + 1 :] if o[0] == u[0]]
+        for a, b in pairs:
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for o in group[b]:
+                    group[o] = group[a]
+        own = list({id(g): g for g in group.values()}.values())
+        if len(own) < 2:
+            return [query]
+        return [Query(tuple(o for o in occurrences if o in g), tuple(e for e in query.equalities if e[0][:2] in g), tuple(t for t in query.project if t[:2] in g), query.disjoint) for g in own]
 
     def count_now(self, query: Query, distinct: bool = True) -> int:
         return self.count(query, distinct).first()["n"] if query.occurrences else 0
