@@ -30,12 +30,13 @@ from rulequarry.llm.components import components
 from rulequarry.llm.textkernel import shingle_sets
 
 SHINGLE_WORDS = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union: the default of near_duplicates, and that of deduplicated.
 PERCENT = 85
+STAGE_PERCENT = 80
 #: Minima of a signature.
 SLOTS = 128
 #: (depth, orders) of the forest, from the shallow reading of all regions to the deepest of the densest.
-LEVELS = ((4, 24), (8, 64), (16, 256))
+LEVELS = ((4, 32), (8, 64), (16, 256))
 #: Nodes of a region that is not read deeper.
 REGION = 4096
 #: Nodes and shingles of a block.
@@ -131,7 +132,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def _linked(sets: list[np.ndarray], apart: int) -> list[tuple[int, int]]:
+def _linked(sets: list[np.ndarray], apart: int, percent: int) -> list[tuple[int, int]]:
     """Links (i, j) that span each component of the nodes; with apart, only pairs (i < apart <= j) are compared."""
     n = len(sets)
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=n)
@@ -156,7 +157,7 @@ def _linked(sets: list[np.ndarray], apart: int) -> list[tuple[int, int]]:
         common += grid[:rows] @ grid[apart:].T
     inter = common.astype(np.int64)
     union = sizes[:rows, None] + sizes[None, apart:] - inter
-    i, j = np.nonzero((100 * inter >= PERCENT * union) & (inter > 0))
+    i, j = np.nonzero((100 * inter >= percent * union) & (inter > 0))
     j = j + apart
     keep = i < j
     parent = list(range(n))
@@ -176,7 +177,7 @@ def _linked(sets: list[np.ndarray], apart: int) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (grp, one, two): compares each unit of work as its last row arrives."""
     key, rows = None, []
 
@@ -185,7 +186,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2 or key[1] != key[2] and not all(by_side):
             return None
         ordered = by_side[0] + by_side[1]
-        links = _linked([np.frombuffer(r[2], dtype=np.uint64) for r in ordered], len(by_side[0]) if by_side[1] else 0)
+        links = _linked([np.frombuffer(r[2], dtype=np.uint64) for r in ordered], len(by_side[0]) if by_side[1] else 0, percent)
         return pa.RecordBatch.from_arrays([pa.array([ordered[i][0] for i, _ in links], pa.int64()), pa.array([ordered[j][0] for _, j in links], pa.int64())], names=["a", "b"]) if links else None
 
     for batch in batches:
@@ -199,7 +200,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): confirmed links between nodes that span each component; stored."""
     groups = components(candidate_edges(nodes)).withColumnRenamed("id", "node").withColumnRenamed("label", "grp")
     sized = groups.join(nodes.select("node", "n"), "node")
@@ -221,23 +222,23 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     units = sets.select("grp", "node", "block", "shingles", other.alias("other")).select("grp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "shingles")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = units.repartition(parts, "grp", "one", "two").sortWithinPartitions("grp", "one", "two")
-    return stored(dealt.mapInArrow(_compare, "a long, b long"), "links")
+    return stored(dealt.mapInArrow(lambda batches: _compare(batches, percent), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows = texts(docs, id_col, text_col)
     sketches = stored(sketch(rows), "sketches")
     named = sketches.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
-    joined = components(links(rows, nodes.drop("digest")))
+    joined = components(links(rows, nodes.drop("digest"), percent))
     classes = nodes.select("digest", "node").join(joined, F.col("node") == F.col("id"), "left").select("digest", F.coalesce("label", "node").alias("component"))
     out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of docs that near_duplicates() keeps: one document of each group, and rows without an id."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

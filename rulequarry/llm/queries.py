@@ -40,7 +40,7 @@ def _op6_sql() -> str:
 
 
 def op1_minhash_forest(spark, sf_dir):
-    return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op2_suffix_dedup(spark, sf_dir):

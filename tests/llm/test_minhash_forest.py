@@ -66,3 +66,21 @@ def test_rows_without_or_with_the_same_id(spark):
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, label long, a long")
     assert sorted(map(str, m.deduplicated(docs).select("doc_id").collect())) == ["Row(doc_id=2)", "Row(doc_id=None)", "Row(doc_id=None)"]
     assert m.near_duplicates(docs.limit(0)).count() == 0
+
+
+def pairs(n, shared=84, own=10, seed=3):
+    """n pairs of texts of random words; with the defaults, 80 of a pair's 100 shingles are shared."""
+    rng = random.Random(seed)
+    words = lambda k: [f"w{rng.getrandbits(40):x}" for _ in range(k)]
+    rows = []
+    for k in range(n):
+        head = words(shared)
+        rows += [(2 * k, " ".join(head + words(own))), (2 * k + 1, " ".join(head + words(own)))]
+    return rows
+
+
+def test_stage_drops_copies_from_080_on(spark):
+    docs = spark.createDataFrame(pairs(40) + [(i + 80, t) for i, t in pairs(5, own=11, seed=4)], "doc_id long, text string")
+    kept = lambda **given: sorted(r.doc_id for r in m.deduplicated(docs, **given).collect())
+    assert kept() == [*range(0, 80, 2), *range(80, 90)]
+    assert kept(percent=85) == list(range(90))
