@@ -38,8 +38,15 @@ def implications(triples: DataFrame, least: int = 1) -> DataFrame:
 
 def chains(triples: DataFrame, least: int = 1) -> DataFrame:
     """p(x, z) and r(z, y) => q(x, y), each body atom either way round."""
+    if least < 1:
+        raise ValueError(f"least must be 1 or more, not {least!r}")
     facts = triples.select("s", "p", "o").distinct()
-    ways = _both_ways(facts)
+    ways = _both_ways(facts).distinct()
     first = ways.select(F.col("p").alias("body_1"), "x", F.col("y").alias("z"))
     second = ways.select(F.col("p").alias("body_2"), F.col("x").alias("z"), "y")
-    return _measured(first.join(second, "z").select("body_1", "body_2", "x", "y").distinct(), facts, ["body_1", "body_2"]).where(F.col("support") >= least)
+    keys = ["body_1", "body_2"]
+    # Only bodies that meet some head fact are measured: the others have no support, and may have a square of pairs.
+    ends = facts.select(F.col("s").alias("x"), F.col("o").alias("y")).distinct()
+    met = ends.join(first, "x").join(second, ["z", "y"]).select(*keys).distinct()
+    bodies = first.join(F.broadcast(met), "body_1").join(second, ["body_2", "z"]).select(*keys, "x", "y").distinct()
+    return _measured(bodies, facts, keys).where(F.col("support") >= least)

@@ -270,9 +270,15 @@ _FACTS = "(SELECT 'n' || n_nationkey AS s, 'in' AS p, 'r' || n_regionkey AS o FR
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for t in ("nation", "customer"):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"_facts_{t}")
-    return spark.sql(f"SELECT * FROM {_FACTS.replace('FROM nation', 'FROM _facts_nation').replace('FROM customer JOIN nation', 'FROM _facts_customer JOIN _facts_nation').replace('FROM customer', 'FROM _facts_customer')}")
+    """Facts over the whole nation and customer tables, both ways between nations and regions."""
+    c = star(spark, sf_dir, ("nation", "customer"))
+    nation, customer = c.tables["nation"], c.tables["customer"]
+    at = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    name = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    fact = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    n, r, who = name("n", "n_nationkey"), name("r", "n_regionkey"), name("c", "c_custkey")
+    parts = (fact(nation, n, "in", r), fact(nation, r, "has", n), fact(customer, who, "lives", name("n", "c_nationkey")), fact(at, who, "region", r))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).distinct()
 
 
 def _rules_sql(bodies: str, keys: str) -> str:

@@ -69,3 +69,38 @@ def test_unlinked_parts_are_counted_apart(spark, folder):
     assert p.count_now(only) == 3
     empty = Planner(Catalog(p.catalog.tables | {"orders": p.catalog.tables["orders"].limit(0)}, p.catalog.primary_keys, p.catalog.foreign_keys))
     assert empty.count_now(only) == empty.count_now(both) == 0
+
+
+def plain_facts():
+    t = {k: v[0] for k, v in ROWS.items()}
+    region = dict(t["nation"])
+    facts = {(f"n{n}", "in", f"r{r}") for n, r in t["nation"]} | {(f"r{r}", "has", f"n{n}") for n, r in t["nation"]}
+    return facts | {(f"c{c}", "lives", f"n{n}") for c, n in t["customer"]} | {(f"c{c}", "region", f"r{region[n]}") for c, n in t["customer"]}
+
+
+def plain_rules(bodies, facts):
+    out = {}
+    for body, pairs in bodies.items():
+        for head in {p for _, p, _ in facts}:
+            of = {(s, o) for s, p, o in facts if p == head}
+            if (n := len(pairs & of)) and body != (head,):
+                known = [x for x in pairs if x[0] in {s for s, _ in of}]
+                out[*body, head] = (n, *(round(n / d, 12) for d in (len(of), len(pairs), len(known))))
+    return out
+
+
+@pytest.mark.parametrize("name", ["triple_rule_implications", "triple_rule_chains"])
+def test_triple_rules_are_of_all_facts(spark, folder, name):
+    facts = plain_facts()
+    ways = {}
+    for s, p, o in facts:
+        ways.setdefault(p, set()).add((s, o))
+        ways.setdefault(p + "^-1", set()).add((o, s))
+    if name == "triple_rule_chains":
+        bodies = {(a, b): {(x, y) for x, z in ways[a] for w, y in ways[b] if z == w} for a in ways for b in ways}
+    else:
+        bodies = {(a,): pairs for a, pairs in ways.items()}
+    got = q.QUERIES[name](spark, folder).collect()
+    k = len(got[0]) - 4
+    assert {tuple(r[:k]): tuple(r[k:]) for r in got} == plain_rules(bodies, facts)
+    assert len(got) == len(plain_rules(bodies, facts))
