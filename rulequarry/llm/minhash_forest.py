@@ -2,9 +2,10 @@
 
 1. Each text becomes its set of hashed shingles of five words and a signature of minima. Texts with one set are one
    node, named by their smallest id, so exact copies never multiply.
-2. The forest keeps several orders of the signatures. In each order, nodes whose longest common prefix reaches the
-   order's depth are neighbours. A region with more nodes than REGION is read deeper, in more orders, so that a pair at
-   the threshold is still met in some order but for a chance below one in a million.
+2. The forest keeps several orders of the signatures. In each order, nodes with equal prefixes of the order's depth
+   are neighbours. Nodes of a region with more than REGION nodes are read deeper, in more orders, over further minima
+   of their own. No two orders share a minimum, so a pair at 0.80 or more is met in some order of either level but for
+   a chance below one in a million (for ideal minima: 4.8e-8 and 4.2e-7). The deeper level emits all its regions.
 3. Neighbours connect to candidate groups. Within a group the full sets are compared exactly, in blocks of bounded
    size; a block or a pair of blocks is one unit of work, however large the group. Only links that join parts of a
    block's own forest are emitted, and the links' components are the result.
@@ -35,8 +36,8 @@ PERCENT = 85
 STAGE_PERCENT = 80
 #: Minima of a signature.
 SLOTS = 128
-#: (depth, orders) of the forest, from the shallow reading of all regions to the deepest of the densest.
-LEVELS = ((4, 32), (8, 64), (16, 256))
+#: (depth, orders) of the forest: the reading of all nodes, and that of the nodes in dense regions.
+LEVELS = ((4, 32), (8, 80))
 #: Nodes of a region that is not read deeper.
 REGION = 4096
 #: Nodes and shingles of a block.
@@ -48,23 +49,27 @@ _XOR = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _deeper(level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash functions of a deeper level's own minima."""
+    depth, n = LEVELS[level]
+    rng = np.random.default_rng(20240607 + level)
+    return rng.integers(0, 1 << 63, depth * n, dtype=np.uint64), rng.integers(0, 1 << 63, depth * n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def orders(level: int) -> list[np.ndarray]:
-    """The slots that each order of a level sorts by: disjoint on the first level, drawn anew on the others."""
+    """The level's minima that each of its orders reads: no minimum is in two orders."""
     depth, n = LEVELS[level]
-    if level == 0:
-        return [np.arange(k * depth, (k + 1) * depth) for k in range(n)]
-    rng = np.random.default_rng(level)
-    return [rng.choice(SLOTS, depth, replace=False) for _ in range(n)]
+    return [np.arange(k * depth, (k + 1) * depth) for k in range(n)]
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(texts, SLOTS) 32-bit minima; texts without shingles have zeros."""
-    out = np.zeros((len(offsets) - 1, SLOTS), dtype=np.uint32)
+def signatures(hashes: np.ndarray, offsets: np.ndarray, xor: np.ndarray = _XOR, odd: np.ndarray = _ODD) -> np.ndarray:
+    """(texts, functions) 32-bit minima; texts without shingles have zeros."""
+    out = np.zeros((len(offsets) - 1, len(xor)), dtype=np.uint32)
     full = np.flatnonzero(np.diff(offsets))
     if len(full):
         starts = offsets[full]
-        for k in range(SLOTS):
-            out[full, k] = np.minimum.reduceat((hashes ^ _XOR[k]) * _ODD[k], starts) >> np.uint64(32)
+        for k in range(len(xor)):
+            out[full, k] = np.minimum.reduceat((hashes ^ xor[k]) * odd[k], starts) >> np.uint64(32)
     return out
 
 
@@ -79,6 +84,10 @@ def _some(batch: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(batch)
 
 
+def _digests(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    return [hashlib.blake2b(hashes[x:y].tobytes(), digest_size=16).digest() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def sketch(rows: DataFrame) -> DataFrame:
     """(doc_id, n, digest, signature) of texts() rows: set size, digest of the set, signature bytes."""
 
@@ -88,36 +97,55 @@ def sketch(rows: DataFrame) -> DataFrame:
             for a, b in _some(given):
                 h, at = shingle_sets(given[a:b], SHINGLE_WORDS)
                 sig = signatures(h, at)
-                digests = [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                digests = _digests(h, at)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(at)), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n", "digest", "signature"])
 
     return rows.mapInArrow(run, "doc_id long, n long, digest binary, signature binary")
 
 
-def _keys(nodes: DataFrame, level: int) -> DataFrame:
+def _prefixes(sig: np.ndarray, level: int) -> np.ndarray:
+    """(orders, nodes) hashes of the nodes' prefixes in each order of a level."""
+    sig, own = sig.astype(np.uint64), orders(level)
+    keys = np.empty((len(own), len(sig)), dtype=np.uint64)
+    for k, slots in enumerate(own):
+        h = np.full(len(sig), np.uint64(level * 1000 + k + 1))
+        for s in slots:
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, s])
+        keys[k] = h
+    return keys
+
+
+def _keys(nodes: DataFrame, rows: DataFrame, level: int) -> DataFrame:
     """(key, node): for each order of a level, the hash of the node's prefix of that depth."""
-    own = orders(level)
+    xor, odd = _deeper(level) if level else (_XOR, _ODD)
 
-    def run(batches):
+    def dealt(sig, ids):
+        keys = _prefixes(sig, level)
+        return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(ids, len(keys)))], names=["key", "node"])
+
+    def first(batches):
+        for batch in batches:
+            yield dealt(np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, SLOTS), batch.column("node").to_numpy())
+
+    def further(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, SLOTS).astype(np.uint64)
-            ids = batch.column("node").to_numpy()
-            keys = np.empty((len(own), len(ids)), dtype=np.uint64)
-            for k, slots in enumerate(own):
-                h = np.full(len(ids), np.uint64(level * 1000 + k + 1))
-                for s in slots:
-                    h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, s])
-                keys[k] = h
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(ids, len(own)))], names=["key", "node"])
+            given, ids, digests = batch.column("text").to_pylist(), batch.column("node").to_numpy(), batch.column("digest").to_pylist()
+            for a, b in _some(given):
+                h, at = shingle_sets(given[a:b], SHINGLE_WORDS)
+                # An id may have other texts than the node's.
+                own = np.array([x == y for x, y in zip(_digests(h, at), digests[a:b], strict=True)])
+                yield dealt(signatures(h, at, xor, odd)[own], ids[a:b][own])
 
-    return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
+    if not level:
+        return nodes.select("node", "signature").mapInArrow(first, "key long, node long")
+    return rows.join(nodes.select("node", "digest"), F.col("doc_id") == F.col("node")).select("node", "digest", "text").mapInArrow(further, "key long, node long").distinct()
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
+def candidate_edges(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): each node with the first node of every region that it lies in; regions are read as deep as they need."""
     edges, left = None, nodes
     for level in range(len(LEVELS)):
-        keys = stored(_keys(left, level), "prefixes")
+        keys = stored(_keys(left, rows, level), "prefixes")
         regions = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
         last = level + 1 == len(LEVELS)
         met = keys.join(regions if last else regions.where(F.col("size") <= REGION), "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
@@ -202,7 +230,7 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 def links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): confirmed links between nodes that span each component; stored."""
-    groups = components(candidate_edges(nodes)).withColumnRenamed("id", "node").withColumnRenamed("label", "grp")
+    groups = components(candidate_edges(nodes, rows)).withColumnRenamed("id", "node").withColumnRenamed("label", "grp")
     sized = groups.join(nodes.select("node", "n"), "node")
     many = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = stored(sized.join(many, "grp").select("node", "grp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "placed")
@@ -231,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = stored(sketch(rows), "sketches")
     named = sketches.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
-    joined = components(links(rows, nodes.drop("digest"), percent))
+    joined = components(links(rows, nodes, percent))
     classes = nodes.select("digest", "node").join(joined, F.col("node") == F.col("id"), "left").select("digest", F.coalesce("label", "node").alias("component"))
     out = sketches.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))

@@ -84,3 +84,14 @@ def test_stage_drops_copies_from_080_on(spark):
     kept = lambda **given: sorted(r.doc_id for r in m.deduplicated(docs, **given).collect())
     assert kept() == [*range(0, 80, 2), *range(80, 90)]
     assert kept(percent=85) == list(range(90))
+
+
+def test_dense_regions_miss_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(m, "REGION", 1)
+    docs = spark.createDataFrame(pairs(500), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in m.near_duplicates(docs, percent=80).collect()}
+    assert [i for i in range(1000) if got[i] != i - i % 2] == []
+    assert all((1 - 0.8**depth) ** n < 1e-6 for depth, n in m.LEVELS)
+    for k in range(len(m.LEVELS)):
+        slots = [s for o in m.orders(k) for s in o]
+        assert len(set(slots)) == len(slots)
