@@ -104,3 +104,8 @@ def test_triple_rules_are_of_all_facts(spark, folder, name):
     k = len(got[0]) - 4
     assert {tuple(r[:k]): tuple(r[k:]) for r in got} == plain_rules(bodies, facts)
     assert len(got) == len(plain_rules(bodies, facts))
+
+
+def test_the_two_denominators_differ(spark, folder):
+    got = {k: tuple(q.QUERIES[f"rule_confidence_{k}"](spark, folder).first())[:2] for k in ("star_quirk", "exact")}
+    assert got == {"star_quirk": (2, 3), "exact": (2, 2)}
