@@ -22,10 +22,6 @@ from rulequarry.operators.lattice import Candidate, Graph, Names, candidates, di
 from rulequarry.plans.conjunctive import Planner, Query
 
 
-#: Distinct rows of a table's joinable columns that one partition holds.
-SMALL_ROWS = 100_000
-
-
 @dataclass(frozen=True)
 class Rule:
     """support: distinct head assignments with a witness; confidence: diagnostic, never a filter.
@@ -159,21 +155,21 @@ def _search(planner: Planner, names: Names, pairs: list, s: Settings, over: Call
 
 
 def _narrowed(catalog: Catalog, pairs: list) -> tuple[Catalog, list[DataFrame]]:
-    """The tables that joinable columns belong to, reduced to the distinct rows of those columns and the keys, and kept.
+    """The tables that joinable columns belong to, reduced to those columns and the keys, and kept.
 
-    Hundreds of counts read them. A table of at most SMALL_ROWS such rows is one partition, so that no count over small
-    tables needs a shuffle; larger ones stay as Spark deals them. Returns what to release in the end.
+    Hundreds of counts read them. Rows are made distinct where no primary key already tells them apart. Returns what
+    to release in the end.
     """
     used: dict[str, set[str]] = defaultdict(set)
     for pair in pairs:
         for t, c in pair:
             used[t].add(c)
-    tables, held = {}, []
+    tables = {}
     for t, columns in used.items():
-        columns |= set(catalog.primary_keys.get(t, ()))
-        df = catalog.tables[t].select(*[F.col(f"`{c}`") for c in catalog.columns(t) if c in columns]).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(df)
-        tables[t] = df.coalesce(1) if df.count() <= SMALL_ROWS else df
+        key = catalog.primary_keys.get(t, ())
+        df = catalog.tables[t].select(*[F.col(f"`{c}`") for c in catalog.columns(t) if c in columns or c in key])
+        tables[t] = (df if key else df.distinct()).persist(StorageLevel.MEMORY_AND_DISK)
+    held = list(tables.values())
     return Catalog(catalog.tables | tables, catalog.primary_keys, catalog.foreign_keys, catalog.name), held
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -224,16 +225,14 @@ class Planner:
             return self.count_now(query, distinct=bool(query.project)) > threshold
         return self.rows(query, distinct=bool(query.project)).limit(threshold + 1).count() > threshold
 
-    def counts(self, queries: Sequence[Query], batch: int = 32) -> list[int]:
-        """The counts of many queries, a job for each batch; equal queries are counted once."""
+    def counts(self, queries: Sequence[Query], jobs: int = 8) -> list[int]:
+        """The counts of many queries, `jobs` of them planned and run side by side; equal queries are counted once."""
         keys = [q.key() for q in queries]
         ask: dict[tuple, Query] = dict(zip(keys, queries, strict=True))
         found: dict[tuple, int] = {k: 0 for k, q in ask.items() if not q.occurrences}
         todo = [k for k in ask if k not in found]
-        for a in range(0, len(todo), batch):
-            parts = [self.count(ask[k]).select(F.lit(n).alias("id"), "n") for n, k in enumerate(todo[a : a + batch])]
-            for r in reduce(DataFrame.unionByName, parts).collect():
-                found[todo[a + r["id"]]] = r["n"]
+        with ThreadPoolExecutor(jobs) as pool:
+            found.update(zip(todo, pool.map(lambda k: self.count(ask[k]).first()["n"], todo), strict=True))
         return [found[k] for k in keys]
 
 

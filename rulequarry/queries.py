@@ -9,7 +9,7 @@ from rulequarry.catalog import Catalog, ForeignKey, star
 from rulequarry.functions import text
 from rulequarry.functions.relations import parse_dependency
 from rulequarry.operators import audit, evidence, joinability, miner, triple_rules, triples
-from rulequarry.operators.lattice import Graph, Names, candidates, edges, foreign_key_pairs, horn_key, horn_splits
+from rulequarry.operators.lattice import Graph, Names, candidates, edges, foreign_key_pairs, horn_splits
 from rulequarry.plans.conjunctive import Planner, Query
 from rulequarry.sources import rdf
 
@@ -161,15 +161,15 @@ def _quirk(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
     return both.withColumnRenamed("n", "numerator").crossJoin(under.withColumnRenamed("n", "denominator")).withColumn("confidence", F.round(F.col("numerator") / F.col("denominator"), 12))
 
 
-_QUIRK = "SELECT a AS numerator, b AS denominator, round(a / b, 12) AS confidence FROM (SELECT (SELECT count(DISTINCT n_nationkey) FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey < 10) AS a, ({}) AS b)"
+_QUIRK = "SELECT a AS numerator, b AS denominator, round(a / b, 12) AS confidence FROM (SELECT (SELECT count(DISTINCT n_nationkey) FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN supplier ON s_nationkey = n_nationkey) AS a, ({}) AS b)"
 
 
-@query(_QUIRK.format("SELECT count(DISTINCT n_nationkey) FROM nation, supplier WHERE s_suppkey < 10"))
+@query(_QUIRK.format("SELECT count(DISTINCT n_nationkey) FROM nation WHERE EXISTS (SELECT 1 FROM supplier)"))
 def rule_confidence_star_quirk(spark, sf_dir):
     return _quirk(spark, sf_dir, 2)
 
 
-@query(_QUIRK.format("SELECT count(DISTINCT n_nationkey) FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE s_suppkey < 10"))
+@query(_QUIRK.format("SELECT count(DISTINCT n_nationkey) FROM nation JOIN supplier ON n_nationkey = s_nationkey"))
 def rule_confidence_exact(spark, sf_dir):
     return _quirk(spark, sf_dir, 3)
 
@@ -265,7 +265,7 @@ def triple_predicate_counts(spark, sf_dir):
     return triples.predicate_counts(triples.triples(star(spark, sf_dir, ("nation", "region"))))
 
 
-_FACTS = "(SELECT 'n' || n_nationkey AS s, 'in' AS p, 'r' || n_regionkey AS o FROM nation UNION SELECT 'r' || n_regionkey, 'has', 'n' || n_nationkey FROM nation WHERE n_nationkey % 3 <> 0 UNION SELECT 'c' || c_custkey, 'lives', 'n' || c_nationkey FROM customer WHERE c_custkey < 300 UNION SELECT 'c' || c_custkey, 'region', 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 200)"
+_FACTS = "(SELECT 'n' || n_nationkey AS s, 'in' AS p, 'r' || n_regionkey AS o FROM nation UNION SELECT 'r' || n_regionkey, 'has', 'n' || n_nationkey FROM nation UNION SELECT 'c' || c_custkey, 'lives', 'n' || c_nationkey FROM customer UNION SELECT 'c' || c_custkey, 'region', 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,18 +301,18 @@ def triple_rule_chains(spark, sf_dir):
 # --- mined rules -------------------------------------------------------------------------------------------------
 
 
-class _Schema:
-    """Names and keys of the tables of the SQL below, without data; the queries mine more tables, and whole ones."""
-
-    COLUMNS = {"customer": ("c_custkey", "c_nationkey"), "nation": ("n_nationkey", "n_regionkey"), "region": ("r_regionkey",), "supplier": ("s_suppkey", "s_nationkey")}
-    KEYS = {"customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey"}
-    foreign_keys = (ForeignKey("nation", "n_regionkey", "region", "r_regionkey"), ForeignKey("customer", "c_nationkey", "nation", "n_nationkey"), ForeignKey("supplier", "s_nationkey", "nation", "n_nationkey"))
-
-    def table_names(self):
-        return sorted(self.COLUMNS)
-
-    def columns(self, table):
-        return list(self.COLUMNS[table])
+#: The key columns of the mined tables in the tables' own order, each with what it refers to.
+_KEYS_OF = {
+    "customer": {"c_custkey": "", "c_nationkey": "nation.n_nationkey"},
+    "events": {"event_id": "", "user_id": "customer.c_custkey"},
+    "lineitem": {"l_orderkey": "orders.o_orderkey", "l_partkey": "part.p_partkey", "l_suppkey": "supplier.s_suppkey"},
+    "nation": {"n_nationkey": "", "n_regionkey": "region.r_regionkey"},
+    "orders": {"o_orderkey": "", "o_custkey": "customer.c_custkey"},
+    "part": {"p_partkey": ""},
+    "region": {"r_regionkey": ""},
+    "supplier": {"s_suppkey": "", "s_nationkey": "nation.n_nationkey"},
+}
+_PRIMARY = {t: next((c for c, to in cs.items() if not to), None) for t, cs in _KEYS_OF.items()}
 
 
 def _mined_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -320,40 +320,104 @@ def _mined_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return star(spark, sf_dir, MINED)
 
 
-def _mined_sql(occurrences: int, disjoint: bool) -> str:
-    """One SELECT for each possible rule: plain joins of its atoms, distinct tuples counted."""
-    s = _Schema()
-    names = Names(s)
-    found, seen = [], set()
-    for c in candidates(Graph(edges(names, foreign_key_pairs(s), occurrences)), 3, 3):
-        for body, head in horn_splits(c):
-            if (key := horn_key(c, head)) not in seen:
-                seen.add(key)
-                found.append((c, body, head))
-    from rulequarry.operators.lattice import display
-
-    sources = {"supplier": "(SELECT * FROM supplier WHERE s_suppkey < 12)", "customer": "(SELECT * FROM customer WHERE c_custkey < 40)"}
-    column = lambda p: "{}_{}.{}".format(*names.term(p))
-
-    def count(atoms, chosen, star_only, classes):
-        tables = ", ".join(f"{sources.get(names.tables[t], names.tables[t])} AS {names.tables[t]}_{j}" for t, j in atoms)
-        where = []
-        for cls in classes:
-            own = [p for p in cls if p.atom in atoms]
-            if own and (not star_only or own[0] == cls[0]):
-                where += [f"{column(own[0])} = {column(p)}" for p in own[1:]]
-        if disjoint:
-            for i, (t, j) in enumerate(atoms):
-                where += [f"{names.tables[t]}_{j}.{s.KEYS[names.tables[t]]} <> {names.tables[t]}_{k}.{s.KEYS[names.tables[t]]}" for u, k in atoms[i + 1 :] if u == t]
-        project = [column(own[0]) for cls in classes if (own := [p for p in cls if p.atom in chosen])]
-        return f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(project)} FROM {tables} WHERE {' AND '.join(where) or 'TRUE'}))"
+def _plain_patterns(occurrences: int, atoms: int, variables: int) -> dict[frozenset, list]:
+    """Equality classes over uses of columns, each with its lexicographically first list of edges.
 
+    Plain enumeration, apart from the engine's lattice: every list of edges, in order, whose every beginning is
+    connected, numbers the uses of a table from 0 and joins two classes. A use is (table, use, position, column).
+    """
+    use = lambda t, k, c: (t, k, list(_KEYS_OF[t]).index(c), c)
+    links = sorted(
+        tuple(sorted((use(t, i, c), use(*to.split(".")[:1], j, to.split(".")[1])))) for t, cs in _KEYS_OF.items() for c, to in cs.items() if to for i in range(occurrences) for j in range(occurrences)
+    )
+    found: dict[frozenset, list] = {}
+
+    def grow(edges: list, classes: list[set]) -> None:
+        used = {u[:2] for c in classes for u in c}
+        for link in links:
+            if edges and not {u[:2] for u in link} & used:
+                continue
+            touched = [c for c in classes if c & set(link)]
+            if any(set(link) <= c for c in touched):
+                continue
+            merged = [c for c in classes if c not in touched] + [set(link).union(*touched)]
+            now = used | {u[:2] for u in link}
+            gaps = any((t, k - 1) not in now for t, k in now if k)
+            if gaps or len(now) > atoms or len(merged) > variables:
+                continue
+            found.setdefault(frozenset(map(frozenset, merged)), [*edges, link])
+            grow([*edges, link], merged)
+
+    grow([], [])
+    return found
+
+
+def _plain_text(classes: list[list], edges: list, head: tuple) -> str:
+    """A rule as text: variables of both sides are x, of the body y, of the head z; uses in the order of the edges."""
+    named, totals = {}, {"x": 0, "y": 0, "z": 0}
+    for c in classes:
+        sides = {u[:2] == head for u in c}
+        kind = "x" if len(sides) == 2 else "z" if True in sides else "y"
+        named |= {u: f"{kind}{totals[kind]}" for u in c}
+        totals[kind] += 1
+    args: dict[tuple, list[str]] = {}
+    for u in (u for e in edges for u in e):
+        own = args.setdefault(u[:2], [])
+        if (x := f"{u[3]}={named[u]}") not in own:
+            own.append(x)
+    text = {a: f"{a[0]}_{a[1]}({', '.join(own)})" for a, own in args.items()}
+    return f"∀ {', '.join(sorted({v for u, v in named.items() if u[:2] != head}))}: {' ∧ '.join(x for a, x in text.items() if a != head)} ⇒ {text[head]}"
+
+
+def _plain_count(atoms: list[tuple], joins: list[tuple], project: list[tuple], disjoint: bool) -> str:
+    """SQL for the number of distinct projected tuples; parts that nothing links are counted apart and multiplied."""
+    apart = [(a, b) for i, a in enumerate(atoms) for b in atoms[i + 1 :] if disjoint and a[0] == b[0]]
+    groups = [{a} for a in atoms]
+    for a, b in [(x[:2], y[:2]) for x, y in joins] + apart:
+        one, two = (next(g for g in groups if z in g) for z in (a, b))
+        if one is not two:
+            one |= two
+            groups.remove(two)
+    alias = lambda a: f"{a[0]}_{a[1]}"
+    parts = []
+    for g in groups:
+        where = [f"{alias(x)}.{x[3]} = {alias(y)}.{y[3]}" for x, y in joins if x[:2] in g]
+        where += [f"{alias(a)}.{_PRIMARY[a[0]]} <> {alias(b)}.{_PRIMARY[b[0]]}" if _PRIMARY[a[0]] else "FALSE" for a, b in apart if a in g]
+        rows = f"FROM {', '.join(f'k_{a[0]} AS {alias(a)}' for a in sorted(g))} WHERE {' AND '.join(where) or 'TRUE'}"
+        own = [f"{alias(u)}.{u[3]}" for u in project if u[:2] in g]
+        parts.append(f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(own)} {rows}))" if own else f"(SELECT CAST(EXISTS (SELECT 1 {rows}) AS BIGINT))")
+    return " * ".join(parts)
+
+
+def _mined_sql(occurrences: int, disjoint: bool) -> str:
+    """One SELECT for each possible rule over the whole tables: plain joins of its atoms, distinct tuples counted."""
+    seen: set = set()
     parts = []
-    for c, body, head in found:
-        every = tuple(c.atoms)
-        d = display(c, head, names).replace("'", "''")
-        parts.append(f"SELECT '{d}' AS display, {count(every, (head,), False, c.classes)} AS support, {count(every, body, False, c.classes)} AS b, {count(body, body, True, c.classes)} AS star, {count(body, body, False, c.classes)} AS exact")
-    return f"SELECT display, support, round(b / star, 12) AS confidence, round(b / exact, 12) AS confidence_exact FROM ({' UNION ALL '.join(parts)}) WHERE support >= 1"
+    for found, edges in sorted(_plain_patterns(occurrences, 3, 3).items(), key=lambda x: x[1]):
+        classes = sorted(sorted(c) for c in found)
+        atoms = sorted({u[:2] for c in classes for u in c})
+        columns = {a: {u[3] for c in classes for u in c if u[:2] == a} for a in atoms}
+        for head in atoms:
+            body = [a for a in atoms if a != head]
+            if any(a[0] == head[0] and a[1] > head[1] and columns[a] == columns[head] for a in body) or any(all(u[:2] == head for u in c) for c in classes):
+                continue
+            swapped = lambda a, t: (a[0], 1 - a[1]) if a[0] == t else a  # noqa: E731  of two uses of a table
+            again = [t for t in {a[0] for a in atoms} if (t, 1) in atoms]
+            forms = {(swapped(head, t), frozenset(frozenset((*swapped(u[:2], t), u[3]) for u in c) for c in classes)) for t in [None, *again]}
+            if forms & seen:
+                continue
+            seen |= forms
+            first = [next((u for u in c if u[:2] != head), None) for c in classes]
+            whole = [(c[0], u) for c in classes for u in c[1:]]
+            stars = [(c[0], u) for c in classes for u in c[1:] if c[0][:2] != head and u[:2] != head]
+            inner = [(f, u) for c, f in zip(classes, first, strict=True) for u in c if f and u != f and u[:2] != head]
+            of_head = [next(u for u in c if u[:2] == head) for c in classes if any(u[:2] == head for u in c)]
+            of_body = [u for u in first if u]
+            counts = [_plain_count(atoms, whole, of_head, disjoint), _plain_count(atoms, whole, of_body, disjoint), _plain_count(body, stars, of_body, disjoint), _plain_count(body, inner, of_body, disjoint)]
+            shown = _plain_text(classes, edges, head)
+            parts.append(f"SELECT '{shown}' AS display, {', '.join(f'{c} AS {n}' for n, c in zip(('support', 'b', 'star', 'exact'), counts, strict=True))}")
+    keys = ", ".join(f"k_{t} AS MATERIALIZED (SELECT DISTINCT {', '.join(cs)} FROM {t})" for t, cs in _KEYS_OF.items())
+    return f"WITH {keys} SELECT display, support, round(b / star, 12) AS confidence, round(b / exact, 12) AS confidence_exact FROM ({' UNION ALL '.join(parts)}) WHERE support >= 1"
 
 
 def _mined(spark: SparkSession, sf_dir: str, occurrences: int, disjoint: bool) -> DataFrame:
