@@ -68,6 +68,15 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name after `name` that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = f"_{name}"
+    while out.lower() in taken:
+        out = f"_{out}"
+    return out
+
+
 def blocks(items: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of items whose bytes fit in limit; a longer item stands alone."""
     at, size = 0, 0

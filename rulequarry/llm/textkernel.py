@@ -78,10 +78,10 @@ def shingle_sets(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarra
             x = np.sort(rolled[a : a + w - size + 1])
             x = x[np.concatenate(([True], x[1:] != x[:-1]))]
         elif w:
-            h = np.uint64(w)
-            for v in words[a : a + w]:
-                h = h * _BASE + v
-            x = mix64(np.array([h], dtype=np.uint64))
+            h = np.array([w], dtype=np.uint64)
+            for k in range(a, a + w):
+                h = h * _BASE + words[k : k + 1]
+            x = mix64(h)
         else:
             continue
         parts.append(x)
