@@ -5,11 +5,13 @@
 2. The forest is the nodes sorted by each label. Rows next to each other have the longest common prefixes of their
    order; those with BASE minima in common are neighbours, and candidates if their bits agree about as often as the
    bits of a pair at the threshold do.
-3. Candidates are tested on full sets, each node's likeliest first, and links join nodes to classes. Candidates inside
-   a class need no test.
-4. What neighbours leave open: a region is the nodes with a common prefix. Regions that still hold more than one class
-   are read again, pair by pair across classes, at the depth at which they have at most REGION nodes (BASE to DEEP, in
-   each order on its own); a region that is larger at its deepest is read in pairs of blocks. No region is left out.
+3. Each node's likeliest candidate is tested on full sets; links join nodes to classes, so that a group of copies is
+   one class before anything is compared with all of it. Candidates inside a class need no test.
+4. What that leaves open: candidates that were not tested, and those that are no neighbours. A region is the nodes with
+   a common prefix. Regions that still hold more than one class are read again, across classes, at the depth at which
+   they have at most REGION nodes (BASE to DEEP, in each order on its own); a region that is larger at its deepest is
+   read in pairs of blocks. No region is left out.
+5. Nodes that open candidates connect are compared on full sets, all of them, in pairs of blocks of bounded size.
 
 A pair at similarity s meets in no order with the chance (1 - s ** depth) ** ORDERS: 5.6e-10 at 0.80 and BASE, 5.2e-6 at
 0.80 and DEEP, 5.9e-9 at 0.85 and DEEP, for ideal minima. The bits' agreement lies LEEWAY deviations lower by chance
@@ -50,8 +52,9 @@ SLOTS = 256
 LEEWAY = 5.2
 #: Nodes of a region that is read at once.
 REGION = 512
-#: Candidates of a node that are tested in each round; what is open then is tested at once.
-TESTED = (1, 4)
+#: Nodes and shingles of a block of sets.
+BLOCK_NODES = 512
+BLOCK_SHINGLES = 1 << 18
 
 _RNG = np.random.default_rng(20240607)
 _XOR = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -207,8 +210,11 @@ def _open(pairs: DataFrame, joined: DataFrame | None) -> DataFrame:
     return _classes(_classes(pairs, joined, "a", "one"), joined, "b", "two").where("one <> two").select("a", "b", "agree")
 
 
-def open_pairs(met: DataFrame, joined: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b, agree): pairs across classes of every region that has more than one, at the depth that the region needs."""
+def open_forest(met: DataFrame, joined: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): candidates across classes in every region that has more than one, at the depth that the region needs.
+
+    Of the candidates of a unit of work only those are given that span them, so rows grow with nodes, not with pairs.
+    """
     least, spark = agreeing(percent), met.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = _classes(met.where("node IS NOT NULL").select("key", "tail", "node", "bits"), joined, "node", "class")
@@ -236,15 +242,19 @@ def open_pairs(met: DataFrame, joined: DataFrame | None, percent: int) -> DataFr
         node, kind = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2))
         bits = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
         split = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
-        a, b, out = [], [], []
+        group = np.arange(len(rows))
+        a, b = [], []
         for i in range(split or len(rows) - 1):
-            j = np.arange(split or i + 1, len(rows))
-            agree = SLOTS - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int32)
-            good = (agree >= least) & (kind[j] != kind[i])
-            a += np.minimum(node[i], node[j[good]]).tolist()
-            b += np.maximum(node[i], node[j[good]]).tolist()
-            out += agree[good].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.int32())], names=["a", "b", "agree"])
+            start = split or i + 1
+            agree = SLOTS - np.bitwise_count(bits[i] ^ bits[start:]).sum(axis=1, dtype=np.int32)
+            met = start + np.flatnonzero((agree >= least) & (kind[start:] != kind[i]))
+            others, first = np.unique(group[met], return_index=True)
+            first = met[first[others != group[i]]]
+            if len(first):
+                a += [int(node[i])] * len(first)
+                b += node[first].tolist()
+                group[np.isin(group, others)] = group[i]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches):
         unit, rows = None, []
@@ -263,7 +273,7 @@ def open_pairs(met: DataFrame, joined: DataFrame | None, percent: int) -> DataFr
         if unit and done():
             yield pairs(rows)
 
-    return dealt.mapInArrow(run, "a long, b long, agree int").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def shingles_of(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -290,34 +300,120 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(shared.where(F.col("shared") * 100 >= (F.col("both") - F.col("shared")) * percent).select("a", "b"), "links")
 
 
-def _joined(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int, joined: DataFrame | None, links: list[DataFrame]) -> DataFrame | None:
-    """Tests the pairs in rounds, the likeliest of each node first; adds to links, gives the classes (id, label)."""
-    live = stored(pairs, "pairs")
-    if live.isEmpty():
-        return joined
-    sets = shingles_of(rows, nodes, live)
-    for most in (*TESTED, None):
-        picked = live
-        if most:
-            ways = live.select(F.col("a").alias("x"), F.col("b").alias("y"), "agree").union(live.select("b", "a", "agree"))
-            best = ways.groupBy("x", F.pmod(F.xxhash64("y"), F.lit(most)).alias("some")).agg(F.max(F.struct("agree", "y")).alias("best"))
-            picked = stored(best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b"), "best.agree").distinct(), "picked")
-        links.append(confirmed(picked, sets, percent))
-        joined = components(reduce(DataFrame.union, links))
-        if most:
-            live = stored(_open(live.join(picked.select("a", "b"), ["a", "b"], "left_anti"), joined), "pairs")
-            if live.isEmpty():
-                break
-    return joined
+def _linked(sets: list[np.ndarray], kinds: list[int], apart: int, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join the nodes' classes as far as they go; with apart, only pairs (i < apart <= j) are compared."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=n)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    # A shingle of one node adds to no intersection.
+    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    owner = owner[shared]
+    column = np.cumsum(np.concatenate(([0], (np.diff(column[shared]) != 0).astype(np.int64)))) if shared.any() else np.zeros(0, dtype=np.int64)
+    rows = apart or n
+    common = np.zeros((rows, n - apart), dtype=np.float32)
+    width = 2048
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+    for k in range(len(cuts) - 1):
+        a, b = cuts[k], cuts[k + 1]
+        grid = np.zeros((n, width), dtype=np.float32)
+        grid[owner[a:b], column[a:b] - k * width] = 1
+        common += grid[:rows] @ grid[apart:].T
+    inter = common.astype(np.int64)
+    union = sizes[:rows, None] + sizes[None, apart:] - inter
+    kind = np.unique(np.asarray(kinds, dtype=np.int64), return_inverse=True)[1]
+    i, j = np.nonzero((100 * inter >= percent * union) & (inter > 0) & (kind[:rows, None] != kind[None, apart:]))
+    j = j + apart
+    keep = i < j
+    # One link joins two classes.
+    _, one = np.unique(np.minimum(kind[i], kind[j])[keep] * n + np.maximum(kind[i], kind[j])[keep], return_index=True)
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(i[keep][one].tolist(), j[keep][one].tolist(), strict=True):
+        ra, rb = root(int(kind[a])), root(int(kind[b]))
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            out.append((a, b))
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (grp, one, two): compares each unit of work as its last row arrives."""
+    key, rows = None, []
+
+    def done() -> pa.RecordBatch | None:
+        by_side = [[r for r in rows if r[1] == key[1]], [r for r in rows if r[1] != key[1]]] if key[1] != key[2] else [rows, []]
+        if len(rows) < 2 or key[1] != key[2] and not all(by_side):
+            return None
+        ordered = by_side[0] + by_side[1]
+        links = _linked([np.frombuffer(r[2], dtype=np.uint64) for r in ordered], [r[3] for r in ordered], len(by_side[0]) if by_side[1] else 0, percent)
+        return pa.RecordBatch.from_arrays([pa.array([ordered[i][0] for i, _ in links], pa.int64()), pa.array([ordered[j][0] for _, j in links], pa.int64())], names=["a", "b"]) if links else None
+
+    for batch in batches:
+        for grp, one, two, block, node, shingles, kind in zip(*(batch.column(c).to_pylist() for c in ("grp", "one", "two", "block", "node", "shingles", "class")), strict=True):
+            if key != (grp, one, two):
+                if key is not None and (out := done()) is not None:
+                    yield out
+                key, rows = (grp, one, two), []
+            rows.append((node, block, shingles, kind))
+    if key is not None and (out := done()) is not None:
+        yield out
+
+
+def compared(edges: DataFrame, joined: DataFrame | None, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join classes, from comparing all nodes of each group that the edges connect; stored.
+
+    A group is cut into blocks, and two blocks are one unit of work, so a unit is bounded however large a group is.
+    """
+    groups = components(edges).select(F.col("id").alias("node"), F.col("label").alias("grp"))
+    sized = _classes(groups.join(nodes.select("node", "doc_id", "mark", "n"), "node"), joined, "node", "class")
+    many = groups.join(nodes.select("node", "n"), "node").groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = stored(sized.join(stored(many, "many"), "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n"), "placed")
+    names = ["node", "grp", "class", "blocks", "block"]
+
+    def shingles(batches):
+        for batch in batches:
+            given = batch.column("text").to_pylist()
+            for a, b in _some(given):
+                h, at = shingle_sets(given[a:b], SHINGLE_WORDS)
+                part = batch.slice(a, b - a)
+                sets = pa.array([h[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sets], names=[*names, "shingles"])
+
+    sets = rows.join(placed, ["doc_id", "mark"]).select(*names, "text").mapInArrow(shingles, "node long, grp long, class long, blocks int, block int, shingles binary")
+    units = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "shingles", "class")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.repartition(parts, "grp", "one", "two").sortWithinPartitions("grp", "one", "two")
+    return stored(dealt.mapInArrow(lambda batches: _compare(batches, percent), "a long, b long"), "links")
 
 
 def classes(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
     """(id, label) of every node that has a link: label is the smallest node reachable. None if no two nodes are alike."""
-    met, links = forest(nodes, percent), []
-    near = met.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    joined = _joined(near, rows, nodes, percent, None, links)
-    # What has been tested without a link may come again: its answer is the same.
-    return _joined(open_pairs(met, joined, percent).join(near.select("a", "b"), ["a", "b"], "left_anti"), rows, nodes, percent, joined, links)
+    met = forest(nodes, percent)
+    near = stored(met.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("agree").alias("agree")), "near")
+    if near.isEmpty():
+        return None
+    ways = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "agree").union(near.select("b", "a", "agree"))
+    best = ways.groupBy("x").agg(F.max(F.struct("agree", "y")).alias("best"))
+    tested = stored(best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct(), "tested")
+    links = confirmed(tested, shingles_of(rows, nodes, tested), percent)
+    joined = components(links)
+    left = _open(near.join(tested, ["a", "b"], "left_anti"), joined).select("a", "b")
+    edges = stored(left.union(open_forest(met, joined, percent)), "open")
+    if edges.isEmpty():
+        return joined
+    return components(links.union(compared(edges, joined, rows, nodes, percent)))
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -326,8 +422,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     sketches = stored(sketch(rows), "sketches")
     named = sketches.where("n > 0 AND doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "mark")).alias("first")
-    alike = named.groupBy("digest").agg(first, F.first("labels").alias("labels"), F.first("bits").alias("bits"))
-    nodes = stored(alike.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.mark", "labels", "bits"), "nodes")
+    alike = named.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("bits").alias("bits"))
+    nodes = stored(alike.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.mark", "n", "labels", "bits"), "nodes")
     joined = classes(rows, nodes, percent)
     grouped = _classes(nodes.select("node", "digest", "doc_id"), joined, "node", "class")
     smallest = grouped.groupBy("class").agg(F.min("doc_id").alias("component"))
