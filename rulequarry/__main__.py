@@ -56,11 +56,13 @@ def audit_rules(spark: SparkSession, args: argparse.Namespace) -> None:
 def import_rdf(spark: SparkSession, args: argparse.Namespace) -> None:
     """Writes an RDF graph as an archive of tables and its variants."""
     read = rdf.read_turtle if args.input.endswith(".ttl") else rdf.read_ntriples
-    statements = rdf.classified(read(spark, args.input)).cache()
-    for name, df in rdf.archive(statements).items():
-        df.write.mode("overwrite").parquet(f"{args.output}/archive/{name}")
-    for name in rdf.VARIANTS:
-        rdf.write_variant(statements, name, f"{args.output}/{name}")
+    graph = read(spark, args.input)
+    statements = rdf.classified(graph).cache()
+    archived = rdf.write_archive(statements, graph, f"{args.output}/archive", {"input_path": args.input})
+    counts = {name: rdf.write_variant(statements, name, f"{args.output}/{name}", archived) for name in rdf.VARIANTS}
+    kinds = {r["category"]: r["count"] for r in statements.groupBy("category").count().collect()}
+    manifest = {"input": args.input, "statements": sum(kinds.values()), "categories": dict(sorted(kinds.items())), "variants": counts}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{args.output}/manifest")
     statements.groupBy("category").count().show()
 
 

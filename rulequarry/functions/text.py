@@ -3,30 +3,38 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# How a duration is written below a second, a minute, an hour, and from there on.
+DURATION_FORMS = ("{ms:.2f} ms", "{seconds:.3f} seconds", "{minutes}m {rest:.1f}s", "{hours}h {minutes}m")
+
+
 def duration(seconds: float) -> str:
-    if seconds < 1:
-        return f"{seconds * 1000:.2f} ms"
-    if seconds < 60:
-        return f"{seconds:.3f} seconds"
-    if seconds < 3600:
-        return f"{int(seconds // 60)}m {seconds % 60:.1f}s"
-    return f"{int(seconds // 3600)}h {int(seconds % 3600 // 60)}m"
+    """Seconds for people to read; the form goes by the size."""
+    minutes, rest = divmod(seconds, 60)
+    hours, minutes = divmod(int(minutes), 60)
+    return DURATION_FORMS[bisect_right((1, 60, 3600), seconds)].format(ms=seconds * 1000, seconds=seconds, rest=rest, minutes=minutes, hours=hours)
+
 
+def program_value(column: Column, integer: bool = False) -> Column:
+    """A value as a logic program writes it: integers and digits stay, other text keeps its letters a-z, lower-cased.
 
-def program_value(column: Column) -> Column:
-    """A value as a logic program writes it: null is `_`, numbers stay, other text keeps its lower-case letters and digits."""
+    Null, the word none, and what has no such letter are `_`.
+    """
     text = column.cast("string")
-    return F.when(text.isNull(), "_").when(text.rlike(r"^\d+$"), text).otherwise(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]", ""))
+    if integer:
+        return F.coalesce(text, F.lit("_"))
+    letters = F.lower(F.regexp_replace(text, "[^A-Za-z]+", ""))
+    return F.when(text.isNull() | (F.lower(text) == "none"), "_").when(text.rlike(r"^\p{Nd}+$"), text).when(letters == "", "_").otherwise(letters)
 
 
 def program_facts(table: DataFrame, name: str) -> DataFrame:
     """One fact `name(value,...).` a row."""
-    values = F.concat_ws(",", *[program_value(F.col(f"`{c}`")) for c in table.columns])
+    values = F.concat_ws(",", *[program_value(F.col(f"`{c}`"), kind in ("tinyint", "smallint", "int", "bigint")) for c, kind in table.dtypes])
     return table.select(F.concat(F.lit(f"{name}("), values, F.lit(").")).alias("value"))
 
 
@@ -39,24 +47,19 @@ def triple_rules(lines: DataFrame) -> DataFrame:
     return rows.crossJoin(loaded).select("body", "head", "confidence", "support", F.when(F.col("loaded") > 0, F.col("support") / F.col("loaded")).otherwise(0.0).alias("accuracy"))
 
 
+# The marks of a logic learner's report; a solution runs from its heading to a line of asterisks.
+NO_SOLUTION = "NO SOLUTION"
+_SOLUTION = re.compile(r"^.*SOLUTION.*\n((?s:.*?))(?:^[^\S\n]*\*+[^\S\n]*$|\Z)", re.MULTILINE)
+_CLAUSE = re.compile(r"^[^\S\n]*(\S.*:-.*\.)[^\S\n]*$", re.MULTILINE)
+_SCORES = {name: re.compile(name + r":\s*([0-9.]+)") for name in ("Precision", "Recall")}
+
+
 def clause_rules(output: str) -> list[tuple[str, float, float]]:
-    """(clause, precision, recall) of a logic learner's solution block; a missing score is -1."""
-    if "NO SOLUTION" in output:
+    """(clause, precision, recall) of a logic learner's solutions; a missing score is -1."""
+    if NO_SOLUTION in output:
         return []
-
-    def score(name: str) -> float:
-        m = re.search(rf"{name}:\s*([0-9.]+)", output)
-        return float(m[1]) if m else -1.0
-
-    block, inside = [], False
-    for line in map(str.strip, output.splitlines()):
-        if "SOLUTION" in line:
-            inside = True
-        elif inside and line and set(line) == {"*"}:
-            inside = False
-        elif inside and ":-" in line and line.endswith("."):
-            block.append(line)
-    return [(c, score("Precision"), score("Recall")) for c in block]
+    precision, recall = (float(m[1]) if (m := rx.search(output)) else -1.0 for rx in _SCORES.values())
+    return [(clause, precision, recall) for part in _SOLUTION.findall(output) for clause in _CLAUSE.findall(part)]
 
 
 def used_twice(atoms: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:

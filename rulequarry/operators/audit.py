@@ -186,25 +186,25 @@ def scope_reasons(rule: Dependency, catalog: Catalog, limits: Limits) -> list[st
     return out
 
 
+# The names of the ways in which a rule says nothing.
+SAID_BY_BODY, ONE_TUPLE = "head_entailed_by_body", "forced_same_tuple"
+ITS_OWN_BODY, NO_BODY, ITS_OWN_SUPPORT = "self_witness_only_body", "empty_body_evidence", "self_witness_only_support"
+
+
 def static_vacuity(rule: Dependency, catalog: Catalog) -> list[str]:
     """Vacuous by form: the body says the head, or two atoms of a table are bound to one tuple."""
-    out = []
-    said = {(a.table, a.terms) for a in rule.body}
-    if rule.head and all((a.table, a.terms) in said for a in rule.head):
-        out.append("head_entailed_by_body")
-    for a, b in combinations(rule.atoms(), 2):
-        key = catalog.primary_keys.get(a.table, ())
-        if a.table == b.table and key and all(dict(a.terms).get(c) is not None and dict(a.terms).get(c) == dict(b.terms).get(c) for c in key):
-            out.append("forced_same_tuple")
-            break
-    return out
+    use = lambda atoms: {(a.table, a.terms) for a in atoms}
+    # Atoms that give all of their table's key, by the variables that they give it.
+    keyed = [(a.table, *(dict(a.terms)[c] for c in key)) for a in rule.atoms() if (key := catalog.primary_keys.get(a.table)) and set(key) <= {c for c, _ in a.terms}]
+    ways = {SAID_BY_BODY: bool(rule.head) and use(rule.head) <= use(rule.body), ONE_TUPLE: len(set(keyed)) < len(keyed)}
+    return [name for name, holds in ways.items() if holds]
 
 
 def dynamic_vacuity(ordinary: tuple[int, int], disjoint: tuple[int, int]) -> list[str]:
-    """Vacuous by data; each pair is (support, predictions)."""
-    if not disjoint[1]:
-        return ["self_witness_only_body" if ordinary[1] else "empty_body_evidence"]
-    return ["self_witness_only_support"] if ordinary[0] and not disjoint[0] else []
+    """Vacuous by data: nothing, or nothing but tuples that are their own witnesses. Pairs are (support, predictions)."""
+    (support, body), (apart, body_apart) = ordinary, disjoint
+    why = (ITS_OWN_BODY if body else NO_BODY) if body_apart == 0 else ITS_OWN_SUPPORT if support and apart == 0 else None
+    return [why] if why else []
 
 
 def _mapped(general: Atom, special: Atom, names: dict[str, str]) -> dict[str, str] | None:

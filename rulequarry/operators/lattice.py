@@ -10,7 +10,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import permutations, product
+from itertools import product
 from typing import NamedTuple
 
 from rulequarry.catalog import Catalog
@@ -165,23 +165,34 @@ def horn_splits(c: Candidate) -> Iterator[tuple[tuple[tuple[int, int], ...], tup
 
 
 def horn_key(c: Candidate, head: tuple[int, int]) -> tuple:
-    """Equal for rules that differ in the numbering of occurrences only; the head becomes occurrence 0."""
-    by_table: dict[int, list[int]] = defaultdict(list)
-    for t, j in c.atoms:
-        by_table[t].append(j)
-    choices = []
-    for t, js in sorted(by_table.items()):
-        fixed = [head[1]] if t == head[0] else []
-        free = [j for j in js if j not in fixed]
-        choices.append([(t, dict(zip([*fixed, *free], [*range(len(fixed)), *p], strict=True))) for p in permutations(range(len(fixed), len(js)))])
-    best = None
-    for choice in product(*choices):
-        new = dict(choice)
-        body = tuple(sorted((t, new[t][j]) for t, j in c.atoms if (t, j) != head))
-        form = tuple(sorted(tuple(sorted((p.table, new[p.table][p.occurrence], p.column) for p in cls)) for cls in c.classes))
-        key = (body, (head[0], 0), form)
-        best = key if best is None or key < best else best
-    return best
+    """Equal for rules that differ in the numbering of occurrences only; the head becomes occurrence 0.
+
+    Atoms are told apart by what they are and, again and again, by the atoms that they share classes with. Where that
+    leaves atoms of a table alike, each of them is told apart in turn and the smallest result stands.
+    """
+
+    def refined(mark: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+        while True:
+            seen = {a: (a[0], mark[a], tuple(sorted((p.column, tuple(sorted((q.table, mark[q.atom], q.column) for q in cls))) for cls in c.classes for p in cls if p.atom == a))) for a in c.atoms}
+            rank = {x: n for n, x in enumerate(sorted(set(seen.values())))}
+            new = {a: rank[seen[a]] for a in c.atoms}
+            if len(set(new.values())) == len(set(mark.values())):
+                return new
+            mark = new
+
+    def written(mark: dict[tuple[int, int], int]) -> tuple:
+        mark = refined(mark)
+        alike = next((own for m in sorted(set(mark.values())) if len(own := [a for a in c.atoms if mark[a] == m]) > 1), None)
+        if alike:
+            return min(written({a: 2 * m + (a != one) for a, m in mark.items()}) for one in alike)
+        places: dict[int, list] = defaultdict(list)
+        for a in sorted(c.atoms, key=lambda a: (a != head, mark[a])):
+            places[a[0]].append(a)
+        new = {a: (t, n) for t, own in places.items() for n, a in enumerate(own)}
+        form = tuple(sorted(tuple(sorted((*new[p.atom], p.column) for p in cls)) for cls in c.classes))
+        return tuple(sorted(new[a] for a in c.atoms if a != head)), new[head], form
+
+    return written({a: int(a != head) for a in c.atoms})
 
 
 def display(c: Candidate, head: tuple[int, int], names: Names) -> str:

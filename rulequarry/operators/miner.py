@@ -53,34 +53,55 @@ class Settings:
 
     @classmethod
     def of(cls, **given) -> Settings:
-        """Settings from loosely typed values and older names of keys."""
-        older = {"nb_occurrence": "walk_length", "max_table": "max_tables", "max_vars": "max_variables", "disjoint_semantic": "disjoint_semantics", "joinability_scope": "joinability", "full_joinability": "joinability"}
+        """Settings from loosely typed values and older names; None and sizes below 1 leave the default."""
         out = cls()
         for key, value in given.items():
+            if key in GONE:
+                raise ValueError(f"{key} is no setting any more; {GONE[key]}")
+            name = OLDER.get(key, key)
+            if name not in cls.__dataclass_fields__ and name != "recursivity":
+                raise ValueError(f"unknown setting {key}")
             if value is None:
                 continue
-            if key == "split_mean_threshold":
-                raise ValueError("split_mean_threshold was removed; use support_threshold, an integer of 1 or more")
-            if key == "recursivity":
-                out.walk_length = max(1, int(value) + 1)
-                continue
-            key = older.get(key, key)
-            if key == "disjoint_semantics":
-                value = value.strip().lower() in ("1", "true", "yes", "on") if isinstance(value, str) else bool(value)
-            elif key == "joinability":
-                value = joinability.scope(value)
-            elif key == "support_threshold":
-                if isinstance(value, bool) or isinstance(value, float) and not value.is_integer() or int(value) < 1:
-                    raise ValueError(f"support_threshold must be an integer of 1 or more, not {value!r}")
-                value = int(value)
-            elif key in ("walk_length", "max_tables", "max_variables"):
-                value = int(value) if int(value) > 0 else getattr(out, key)
-            elif not hasattr(out, key):
-                raise ValueError(f"unknown setting {key}")
-            setattr(out, key, value)
+            name, value = ("walk_length", int(value) + 1 if int(value) > 0 else 1) if name == "recursivity" else (name, READ.get(name, lambda x: x)(value))
+            if value is not None:
+                setattr(out, name, value)
         return out
 
 
+# Settings that are no more, and those that were called otherwise.
+GONE = {"split_mean_threshold": "use support_threshold, an integer of 1 or more"}
+OLDER = {
+    "nb_occurrence": "walk_length",
+    "max_table": "max_tables",
+    "max_vars": "max_variables",
+    "disjoint_semantic": "disjoint_semantics",
+    "joinability_scope": "joinability",
+    "full_joinability": "joinability",
+}
+
+
+def _size(value) -> int | None:
+    n = int(value)
+    return n if n > 0 else None
+
+
+def _whole(value) -> int:
+    if isinstance(value, bool) or value != int(value) if not isinstance(value, str) else not value.strip().isdigit():
+        raise ValueError(f"support_threshold must be an integer of 1 or more, not {value!r}")
+    if int(value) < 1:
+        raise ValueError(f"support_threshold must be an integer of 1 or more, not {value!r}")
+    return int(value)
+
+
+def _flag(value) -> bool:
+    return value.strip().lower() in ("1", "true", "yes", "on") if isinstance(value, str) else bool(value)
+
+
+#: How the values of a setting are read; others are taken as they are.
+READ: dict[str, Callable] = {"walk_length": _size, "max_tables": _size, "max_variables": _size, "support_threshold": _whole, "disjoint_semantics": _flag, "joinability": joinability.scope}
+
+
 def metrics_queries(c: Candidate, body: tuple, head: tuple, names: Names, disjoint: bool) -> tuple[Query, Query, Query, Query]:
     """Queries whose counts are support, body with head, body joined by stars, body joined by classes."""
     atom = lambda a: (names.tables[a[0]], a[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -651,24 +653,106 @@ s:Person rdfs:subClassOf s:Thing . ex:Alice a s:Person ; rdfs:label "Alice"@en ;
 """
 
 
-def _statements(spark: SparkSession) -> DataFrame:
-    return rdf.classified(spark.createDataFrame(list(rdf.parse_turtle(TURTLE)), rdf.STATEMENT))
+# The graph that the queries below read: every row of five tables as statements of all categories. Table names in braces.
+_IRI = "'http://example.org/{0}/' || {1}"
+_PARTS = (
+    ("{nation}", _IRI.format("nation", "n_nationkey"), "iri", rdf.RDF + "type", "'http://schema.org/Country'", "iri", None),
+    ("{nation}", _IRI.format("nation", "n_nationkey"), "iri", rdf.RDFS + "label", "n_name", "literal", rdf.XSD + "string"),
+    ("{nation}", _IRI.format("nation", "n_nationkey"), "iri", rdf.SCHEMA + "containedInPlace", _IRI.format("region", "n_regionkey"), "iri", None),
+    ("{region}", _IRI.format("region", "r_regionkey"), "iri", rdf.RDF + "type", "'http://www.w3.org/2002/07/owl#Class'", "iri", None),
+    ("{region}", _IRI.format("region", "r_regionkey"), "iri", rdf.RDFS + "subClassOf", "'http://schema.org/Place'", "iri", None),
+    ("{region}", _IRI.format("region", "r_regionkey"), "iri", rdf.OWL + "disjointWith", _IRI.format("region", "(r_regionkey + 1)"), "iri", None),
+    ("{customer}", _IRI.format("customer", "c_custkey"), "iri", rdf.RDF + "type", "'http://schema.org/Person'", "iri", None),
+    ("{customer}", _IRI.format("customer", "c_custkey"), "iri", rdf.SCHEMA + "homeLocation", _IRI.format("nation", "c_nationkey"), "iri", None),
+    ("{customer}", _IRI.format("customer", "c_custkey"), "iri", "http://example.org/a/home-location", _IRI.format("nation", "c_nationkey"), "iri", None),
+    ("{customer}", _IRI.format("customer", "c_custkey"), "iri", "http://example.org/b#home-location", _IRI.format("nation", "c_nationkey"), "iri", None),
+    ("{customer}", _IRI.format("customer", "c_custkey"), "iri", "http://example.org/b#home-location", "'0' || c_nationkey", "literal", rdf.XSD + "integer"),
+    ("{customer}", _IRI.format("customer", "c_custkey"), "iri", "http://example.org/vip", "CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE '0' END", "literal", rdf.XSD + "boolean"),
+    ("{customer}", _IRI.format("customer", "c_custkey"), "iri", rdf.PROV + "wasDerivedFrom", "'http://example.org/table'", "iri", None),
+    ("{supplier}", "'_:s' || s_suppkey", "blank", rdf.SHACL + "path", "'http://schema.org/homeLocation'", "iri", None),
+    ("{supplier}", "'http://example.org/shape'", "iri", rdf.SHACL + "property", "'_:s' || s_suppkey", "blank", None),
+    ("{supplier}", "'http://example.org/note'", "iri", rdf.SCHEMA + "about", "'_:s' || s_suppkey", "blank", None),
+    ("{supplier}", "'_:b' || s_suppkey", "blank", rdf.SCHEMA + "about", "'_:b' || s_nationkey", "blank", None),
+)
+
+
+def _graph_sql() -> str:
+    null = "CAST(NULL AS VARCHAR(100))"
+    return " UNION ALL ".join(f"SELECT {s} AS s, '{sk}' AS s_kind, '{p}' AS p, {o} AS o, '{ok}' AS o_kind, {null if d is None else f"'{d}'"} AS datatype, {null} AS lang FROM {t}" for t, s, sk, p, o, ok, d in _PARTS)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star(spark, sf_dir, ("nation", "region", "customer", "supplier")).tables
+    return spark.sql(_graph_sql(), **tables).selectExpr(*[x.split()[0] for x in rdf.STATEMENT.split(", ")])
 
 
-@query("SELECT * FROM (VALUES ('instance_type', 2::BIGINT), ('abox_object_fact', 1), ('abox_datatype_fact', 1), ('class_hierarchy', 1), ('annotation', 1), ('shape', 5)) t(category, n)")
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rdf.classified(_graph(spark, sf_dir))
+
+
+# Categories by lookups in sets of terms, numbers by row_number over all rows: no part of it is the engine's.
+_RDF_SQL = """WITH g AS (SELECT DISTINCT * FROM (%s)),
+shape AS (SELECT s AS t FROM g WHERE p LIKE '%%/ns/shacl#path' UNION SELECT s FROM g WHERE p LIKE '%%-ns#type' AND (o LIKE '%%/shacl#NodeShape' OR o LIKE '%%/shacl#PropertyShape') UNION SELECT o FROM g WHERE p LIKE '%%/ns/shacl#property'),
+declared(t) AS (VALUES ('http://www.w3.org/1999/02/22-rdf-syntax-ns#Property'), ('http://www.w3.org/2000/01/rdf-schema#Class'), ('http://www.w3.org/2002/07/owl#Class'), ('http://www.w3.org/2002/07/owl#DatatypeProperty'), ('http://www.w3.org/2002/07/owl#ObjectProperty')),
+st AS (SELECT *, row_number() OVER (ORDER BY s_kind = 'iri', ltrim(s, '_:'), p, CASE o_kind WHEN 'blank' THEN 1 WHEN 'literal' THEN 2 ELSE 3 END, ltrim(o, '_:'), datatype) AS id,
+CASE WHEN p LIKE '%%schema#subClassOf' THEN 'class_hierarchy' WHEN p LIKE '%%owl#disjointWith' THEN 'class_disjointness' WHEN p LIKE '%%-ns#type' AND o IN (FROM declared) THEN 'schema_declaration'
+WHEN s IN (FROM shape) OR o IN (FROM shape) OR p LIKE '%%/ns/shacl#%%' THEN 'shacl_shape' WHEN p LIKE '%%/ns/prov#%%' THEN 'provenance_or_mapping' WHEN p LIKE '%%rdf-schema#label' THEN 'annotation'
+WHEN p LIKE '%%-ns#type' THEN 'instance_type' WHEN o_kind = 'literal' THEN 'abox_datatype_fact' ELSE 'abox_object_fact' END AS category FROM g),
+seen AS (SELECT s AS v, s_kind AS k, 3 * id AS pos FROM st UNION ALL SELECT p, 'iri', 3 * id + 1 FROM st UNION ALL SELECT o, o_kind, 3 * id + 2 FROM st WHERE o_kind <> 'literal'),
+term AS (SELECT row_number() OVER (ORDER BY pos) AS term_id, v, k FROM (SELECT v, k, min(pos) AS pos FROM seen GROUP BY v, k)),
+lit AS (SELECT row_number() OVER (ORDER BY pos) AS literal_id, o, datatype FROM (SELECT o, datatype, min(id) AS pos FROM st WHERE o_kind = 'literal' GROUP BY o, datatype)),
+named(p, literal, table_name) AS (VALUES ('http://example.org/a/home-location', false, 'home_location'), ('http://example.org/b#home-location', false, 'home_location_' || left(sha256('http://example.org/b#home-location'), 8)), ('http://example.org/b#home-location', true, 'home_location_literal'),
+('http://example.org/vip', true, 'vip'), ('http://schema.org/about', false, 'schema_about'), ('http://schema.org/containedInPlace', false, 'schema_containedInPlace'), ('http://schema.org/homeLocation', false, 'schema_homeLocation')) """ % _graph_sql().replace("{", "").replace("}", "")
+
+
+@query(_RDF_SQL + "SELECT category, count(*) AS n FROM st GROUP BY category")
 def rdf_statement_categories(spark, sf_dir):
-    return _statements(spark).groupBy("category").agg(F.count("*").alias("n"))
+    return _statements(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(_RDF_SQL + "SELECT term_id, v AS value, CASE k WHEN 'blank' THEN 'blank_node' ELSE 'iri' END AS kind, v AS display FROM term")
+def rdf_terms(spark, sf_dir):
+    return rdf.archive(_statements(spark, sf_dir))["term"]
 
 
-@query("SELECT * FROM (VALUES ('term', 17::BIGINT), ('literal', 3), ('statement', 11)) t(name, n)")
-def rdf_dictionary(spark, sf_dir):
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in rdf.archive(_statements(spark)).items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+@query(_RDF_SQL + "SELECT literal_id, o AS lexical_form, datatype AS datatype_iri, CASE WHEN datatype LIKE '%#integer' THEN CAST(CAST(o AS BIGINT) AS VARCHAR) WHEN o = 'true' THEN 'True' WHEN datatype LIKE '%#boolean' THEN 'False' ELSE o END AS parsed_value FROM lit")
+def rdf_literals(spark, sf_dir):
+    return rdf.archive(_statements(spark, sf_dir))["literal"].drop("lang")
 
 
-@query("SELECT * FROM (VALUES ('http://schema.org/birthPlace', false, 'birthPlace'), ('http://schema.org/birthDate', true, 'birthDate')) t(p, literal, table_name)")
+@query(
+    _RDF_SQL + "SELECT st.id AS statement_id, a.term_id AS subject_id, b.term_id AS predicate_id, CASE o_kind WHEN 'literal' THEN 'literal' ELSE 'resource' END AS object_kind, coalesce(c.term_id, 0) AS object_id, coalesce(literal_id, 0) AS literal_id, category, "
+    "sha256(CASE s_kind WHEN 'blank' THEN 'blank' ELSE 'resource' END || chr(0) || ltrim(s, '_:') || chr(31) || 'resource' || chr(0) || p || chr(31) || CASE o_kind WHEN 'blank' THEN 'blank' || chr(0) || ltrim(st.o, '_:') WHEN 'literal' THEN 'literal' || chr(0) || st.o || chr(0) || st.datatype || chr(0) ELSE 'resource' || chr(0) || st.o END) AS statement_hash "
+    "FROM st JOIN term a ON a.v = s JOIN term b ON b.v = p LEFT JOIN term c ON c.v = st.o AND o_kind <> 'literal' LEFT JOIN lit ON lit.o = st.o AND lit.datatype = st.datatype AND o_kind = 'literal'"
+)
+def rdf_statement_ids(spark, sf_dir):
+    return rdf.archive(_statements(spark, sf_dir))["statement"].na.fill(0, ["object_id", "literal_id"])
+
+
+@query(_RDF_SQL + "SELECT * FROM named")
 def rdf_predicate_tables(spark, sf_dir):
-    return rdf.predicate_tables(_statements(spark))
+    return rdf.predicate_tables(_statements(spark, sf_dir))
+
+
+@query(
+    _RDF_SQL + "SELECT 'entity' AS part, term_id AS id, v AS a, '' AS b, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS d FROM term WHERE v IN (SELECT s FROM st WHERE category IN ('instance_type', 'abox_object_fact', 'abox_datatype_fact') UNION SELECT o FROM st WHERE category = 'abox_object_fact') "
+    "UNION ALL SELECT 'class', term_id, v, '', 0, 0 FROM term WHERE v IN (SELECT o FROM st WHERE category = 'instance_type' UNION SELECT s FROM st WHERE category = 'class_hierarchy' UNION SELECT o FROM st WHERE category = 'class_hierarchy') "
+    "UNION ALL SELECT CASE category WHEN 'instance_type' THEN 'rdf_type' ELSE 'rdfs_subClassOf' END, id, '', '', a.term_id, b.term_id FROM st JOIN term a ON a.v = s JOIN term b ON b.v = o WHERE category IN ('instance_type', 'class_hierarchy') "
+    "UNION ALL SELECT 'object_fact', id, table_name, '', a.term_id, b.term_id FROM st JOIN named n ON n.p = st.p AND NOT n.literal JOIN term a ON a.v = s JOIN term b ON b.v = o WHERE category = 'abox_object_fact' "
+    "UNION ALL SELECT 'literal_fact', id, table_name, st.o, a.term_id, literal_id FROM st JOIN named n ON n.p = st.p AND n.literal JOIN term a ON a.v = s JOIN lit ON lit.o = st.o AND lit.datatype = st.datatype WHERE category = 'abox_datatype_fact'"
+)
+def rdf_star(spark, sf_dir):
+    """The ontology-lite variant's tables in one shape: entity, class, rdf_type, rdfs_subClassOf and the facts."""
+    t = rdf.star_tables(_statements(spark, sf_dir), "ontology-lite")
+    row = lambda part, id_, a="''", b="''", c="0L", d="0L": t[part].selectExpr(f"'{part}' AS part", f"{id_} AS id", f"{a} AS a", f"{b} AS b", f"{c} AS c", f"{d} AS d")
+    parts = [row("entity", "entity_id", "iri"), row("class", "class_id", "iri"), row("rdf_type", "statement_id", c="subject_id", d="class_id"), row("rdfs_subClassOf", "statement_id", c="subclass_id", d="superclass_id")]
+    parts += [row("object_fact", "statement_id", "predicate_table", c="subject_id", d="object_id"), row("literal_fact", "statement_id", "predicate_table", "raw_lexical", "subject_id", "literal_id")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(_RDF_SQL + "SELECT id AS statement_id, s || chr(9) || p || chr(9) || CASE o_kind WHEN 'literal' THEN 'literal:' || literal_id ELSE st.o END AS line FROM st LEFT JOIN lit ON lit.o = st.o AND lit.datatype = st.datatype WHERE category IN ('instance_type', 'abox_object_fact', 'abox_datatype_fact')")
+def rdf_graph_lines(spark, sf_dir):
+    return rdf.graph_lines(_statements(spark, sf_dir), "core")
 
 
 @query("SELECT 'http://example.org/birth' AS shape_iri, 'http://schema.org/birthPlace' AS path_iri, 'http://schema.org/Place' AS classes, CAST(NULL AS INTEGER) AS min_count, CAST(1 AS INTEGER) AS max_count")
@@ -677,9 +761,12 @@ def rdf_shapes(spark, sf_dir):
     return rdf.shape_properties(graph).select("shape_iri", "path_iri", F.concat_ws(",", "class_iris").alias("classes"), "min_count", "max_count")
 
 
-@query("SELECT 'region(' || r_regionkey || ',' || lower(regexp_replace(r_name, '[^A-Za-z0-9_]', '', 'g')) || ').' AS value FROM region")
+_FACT = "CASE WHEN {0} IS NULL OR lower({0}) = 'none' THEN '_' WHEN regexp_full_match({0}, '[0-9]+') THEN {0} WHEN regexp_matches({0}, '[A-Za-z]') THEN lower(regexp_replace({0}, '[^A-Za-z]', '', 'g')) ELSE '_' END"
+
+
+@query("SELECT 'documents(' || doc_id || ',' || " + " || ',' || ".join(_FACT.format(c) for c in ("text", "lang", "source")) + " || ',' || n_chars || ').' AS value FROM documents")
 def program_facts(spark, sf_dir):
-    return text.program_facts(star(spark, sf_dir, ("region",)).tables["region"], "region")
+    return text.program_facts(star(spark, sf_dir, ("documents",)).tables["documents"], "documents")
 
 
 def queries() -> dict:

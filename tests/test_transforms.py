@@ -1,6 +1,7 @@
 import pytest
 
 from rulequarry.catalog import Catalog, ForeignKey
+from rulequarry.functions import text
 from rulequarry.operators import evidence, triples
 from rulequarry.queries import TURTLE
 from rulequarry.sources import rdf, rules
@@ -43,14 +44,35 @@ def test_turtle_and_ntriples_agree(spark, tmp_path):
 
 
 def test_variants_and_archive(spark, tmp_path):
-    s = rdf.classified(spark.createDataFrame(list(rdf.parse_turtle(TURTLE)), rdf.STATEMENT))
-    assert rdf.variant(s, "core").count() == 4 and rdf.variant(s, "ontology-lite").count() == 5
-    assert {x[0] for x in rdf.variant(s, "core").select("predicate_table").collect()} == {"rdf_type", "birthPlace", "birthDate"}
-    tables = rdf.archive(s)
-    ids = sorted(x[0] for x in tables["statement"].select("statement_id").collect())
-    assert ids == list(range(1, 12)) and tables["statement"].where("object_id IS NULL AND literal_id IS NULL").count() == 0
-    rdf.write_variant(s, "core", str(tmp_path / "v"))
-    assert spark.read.parquet(str(tmp_path / "v" / "tables")).count() == 4 and spark.read.text(str(tmp_path / "v" / "graph.tsv")).count() == 4
+    graph = spark.createDataFrame(list(rdf.parse_turtle(TURTLE)), rdf.STATEMENT)
+    s = rdf.classified(graph)
+    archived = rdf.write_archive(s, graph, str(tmp_path / "a"), {"input_path": "x"})
+    ids = sorted(x[0] for x in archived["statement"].select("statement_id").collect())
+    assert ids == list(range(1, 12)) and archived["statement"].where("object_id IS NULL AND literal_id IS NULL").count() == 0
+    assert spark.read.parquet(str(tmp_path / "a" / "transformation_decision")).count() == 20
+    shape = spark.read.parquet(str(tmp_path / "a" / "shape_property")).first()
+    assert (shape.class_iris, shape.max_count, shape.labels) == ('["http://schema.org/Place"]', 1, "[]")
+    counts = rdf.write_variant(s, "core", str(tmp_path / "v"), archived)
+    # birthPlace is the path of a shape, not a shape; both people and places are entities, their types are classes.
+    assert counts == {"entity": 2, "literal": 1, "class": 2, "rdf_type": 2, "object_fact": 1, "literal_fact": 1}
+    lines = [x.value for x in spark.read.text(str(tmp_path / "v" / "graph.tsv")).collect()]
+    assert len(lines) == 4 and any(x.startswith("http://example.org/Alice\thttp://schema.org/birthDate\tliteral:") for x in lines)
+    assert set(rdf.star_tables(s, "ontology-lite", archived)) - set(counts) == {"rdfs_subClassOf"}
+
+
+def test_lists_that_run_in_a_circle_end(spark):
+    sh, first, rest = rdf.SHACL, rdf.RDF + "first", rdf.RDF + "rest"
+    rows = [("_:s", sh + "path", "p"), ("_:s", sh + "or", "_:c"), ("_:c", first, "_:x"), ("_:c", rest, "_:d"), ("_:d", first, "_:y"), ("_:d", rest, "_:c"), ("_:x", sh + "class", "K"), ("_:y", sh + "datatype", "D"), ("_:s", rdf.RDFS + "label", "shape")]
+    graph = spark.createDataFrame([(s, "blank", p, o, "iri", None, None) for s, p, o in rows], rdf.STATEMENT)
+    (got,) = rdf.shape_properties(graph).collect()
+    assert (got.path_iri, got.class_iris, got.datatype_iris, got.labels, got.min_count) == ("p", ["K"], ["D"], ["shape"], None)
+
+
+def test_values_of_logic_programs(spark):
+    df = spark.createDataFrame([("a1-b",), ("é_x9",), ("None",), ("12",), ("--",), (None,), ("Ab C",)], "v string")
+    assert [x[0] for x in df.select(text.program_value(df.v)).collect()] == ["ab", "x", "_", "12", "_", "_", "abc"]
+    n = spark.createDataFrame([(-5,), (None,)], "v int")
+    assert [x.value for x in text.program_facts(n, "t").collect()] == ["t(-5).", "t(_)."]
 
 
 def test_rule_files(spark, tmp_path):
