@@ -51,10 +51,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Has the driver delete a path of the shared folder when the application ends: results are read until then."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
+    """df written to the shared folder and read back: cuts the lineage, survives lost executors, goes with the application."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
