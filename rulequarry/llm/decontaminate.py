@@ -6,11 +6,12 @@ move without missing a pattern; where it may not move, the block's hash selects
 common length with it, their first bytes and then the whole pattern are compared. Many stretches of text are searched
 side by side, so the table lookups are array operations.
 
-The items are broadcast in chunks of a fixed size, each searched by an operator of its own, so a large benchmark
-lengthens the plan instead of a broadcast.
+The items are broadcast in chunks of a fixed size, one after another, so a large benchmark adds passes over the texts
+instead of growing a broadcast.
 
 Defined results: null or wordless text has no words and no hit; items without words or without an id match nothing;
-rows with null or repeated ids are searched like any other; an empty benchmark hits nothing.
+rows with null or repeated ids are searched like any other; texts of any length are searched whole; an empty benchmark
+hits nothing; mark() refuses columns that have the names it adds, clean() works beside any.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import append, blocks, ranges
+from rulequarry.llm.common import append, blocks, free_name, ranges, stored
 
 WINDOW_WORDS = 10
 #: Bytes of items that one broadcast holds.
@@ -178,17 +179,26 @@ def _unite(flat, x):
 #: The tables that this worker process has built, kept from task to task.
 _SEARCHERS: dict[str, Searcher] = {}
 
+#: The columns that mark() adds: words, flat word ranges of hits, sorted ids as text.
+ADDED = ("_n_words", "_hits", "_items")
 
-def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs with _n_words, _hits (flat word ranges) and _items (sorted ids as text)."""
+
+def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """docs with the columns `added`; names that docs has are refused.
+
+    A benchmark of several chunks is searched one chunk after another: each pass is stored and lets its broadcast go
+    before the next is made, so driver and executors hold one chunk at a time.
+    """
+    if clash := {c.lower() for c in added} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table already has columns named {sorted(clash)}")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     sc = docs.sparkSession.sparkContext
-    out = docs
+    out, names = docs, []
     for k in range(chunks):
         part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k)
-        held = sc.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
+        held = sc.broadcast([(r["item_id"], r["text"]) for r in part.collect()])  # about chunk_bytes
 
         def make(held=held, key=uuid.uuid4().hex):
             if key not in _SEARCHERS:
@@ -202,16 +212,19 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, text_c
 
             return columns
 
-        out = append(out, text_col, f"_n_words_{k} long, _hits_{k} array<long>, _items_{k} array<string>", make)
-    hits = [F.col(f"_hits_{k}") for k in range(chunks)]
-    found = [F.col(f"_items_{k}") for k in range(chunks)]
-    if chunks > 1:
-        pairs = F.array_sort(F.flatten(F.array(*[_pairs(h) for h in hits])))
-        start = F.array().cast("array<bigint>")
-        united = F.aggregate(pairs, start, _unite)
-    else:
-        united = hits[0]
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_n_words_0").alias("_n_words"), united.alias("_hits"), F.array_sort(F.array_distinct(F.concat(*found))).alias("_items"))
+        names.append([free_name(out, f"{c.strip('_')}_{k}") for c in added])
+        n_words, hits, found = names[-1]
+        out = append(out, text_col, f"`{n_words}` long, `{hits}` array<long>, `{found}` array<string>", make)
+        if chunks > 1:
+            out = stored(out, "marked")
+            held.unpersist()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if chunks == 1:
+        return out.select(*own, *[F.col(x).alias(c) for c, x in zip(added, names[0], strict=True)])
+    pairs = F.array_sort(F.flatten(F.array(*[_pairs(F.col(n[1])) for n in names])))
+    united = F.aggregate(pairs, F.array().cast("array<bigint>"), _unite)
+    ids = F.array_sort(F.array_distinct(F.concat(*[F.col(n[2]) for n in names])))
+    return out.select(*own, F.col(names[0][0]).alias(added[0]), united.alias(added[1]), ids.alias(added[2]))
 
 
 def digest(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -229,5 +242,6 @@ def digest(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs without any hit."""
-    return mark(docs, benchmark, text_col=text_col).where(F.size("_hits") == 0).drop("_n_words", "_hits", "_items")
+    """The rows of docs without any hit; all columns of docs, whatever their names."""
+    added = tuple(free_name(docs, c.strip("_")) for c in ADDED)
+    return mark(docs, benchmark, text_col=text_col, added=added).where(F.size(added[1]) == 0).drop(*added)

@@ -66,7 +66,7 @@ def op5_token_files(spark, sf_dir):
 
 
 def op7_decontaminate(spark, sf_dir):
-    return decontaminate.digest(decontaminate.mark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")))
 
 
 def op8_warc(spark, sf_dir):

@@ -47,3 +47,13 @@ def test_long_patterns_only(spark):
     table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert sorted(map(tuple, d.digest(d.mark(table, bench)).collect()), key=str) == brute(docs, items)
     assert d.clean(table, bench.limit(0)).count() == len(docs)
+
+
+def test_clashing_names_chunks_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k", 1, 2, 3), (2, "", 4, 5, 6), (3, "x " * 300_000, 7, 8, 9)], "doc_id long, text string, _hits long, _Items long, _hits_0 long")
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "zz")], "item_id long, text string")
+    assert sorted(r.doc_id for r in d.clean(docs, items).collect()) == [2, 3] and d.clean(docs, items).columns == docs.columns
+    plain = docs.select("doc_id", "text")
+    one, more = (sorted(map(tuple, d.digest(d.mark(plain, items, chunk_bytes=n)).collect())) for n in (d.CHUNK_BYTES, 8))
+    assert one == more and one[0][:4] == (1, 11, 10, 1)
+    assert d.mark(plain.limit(0), items).count() == 0
