@@ -85,8 +85,11 @@ def write(pages: DataFrame, path: str, least: int = MIN_REVISIT_BYTES) -> DataFr
         .where("n > 1")
         .select(F.col("sha").alias("copied"), "first")
     )
-    joined = keyed.join(firsts, F.col("sha") == F.col("copied"), "left")
-    marked = joined.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("response"))
+    # Ids alone meet their payload's first record; the payloads are dealt by page, so copies of one do not meet in a task.
+    known = stored(firsts, "firsts")
+    copies = keyed.select("page_id", "sha").join(known, F.col("sha") == F.col("copied")).where("page_id <> first").select(F.col("page_id").alias("copy_id"), F.col("sha").alias("copy_sha"), "first").distinct()
+    joined = keyed.join(copies, (F.col("page_id") == F.col("copy_id")) & (F.col("sha") == F.col("copy_sha")), "left")
+    marked = joined.select("page_id", "url", "html", F.col("first").alias("response"))
 
     def run(batches):
         store, base = fs.FileSystem.from_uri(path)
@@ -114,7 +117,7 @@ class _Range:
     """Bytes of a file from an offset on, read in pieces."""
 
     def __init__(self, file, start: int, size: int):
-        self.file, self.at, self.size, self.data = file, start, size, b""
+        self.file, self.at, self.size, self.data = file, start, size, bytearray()
 
     def more(self, piece: int = 1 << 16) -> bool:
         self.file.seek(self.at + len(self.data))
@@ -123,13 +126,14 @@ class _Range:
         return bool(got)
 
     def drop(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        del self.data[:n]
+        self.at += n
 
 
 def _header_ok(data: bytes) -> bool:
     """Whether a gzip member starts here whose content starts as a record does."""
     with suppress(zlib.error):
-        return zlib.decompressobj(31).decompress(data, 16).startswith(b"WARC/1.")
+        return zlib.decompressobj(31).decompress(bytes(data[:512]), 16).startswith(b"WARC/1.")
     return False
 
 
@@ -157,7 +161,7 @@ def records(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
             while not unpacker.eof:
                 if fed == len(r.data) and not r.more(1 << 18):
                     break
-                content.append(unpacker.decompress(r.data[fed:]))
+                content.append(unpacker.decompress(bytes(r.data[fed:])))
                 fed = len(r.data)
         except zlib.error:
             r.drop(1)
