@@ -168,7 +168,7 @@ def score(docs: DataFrame, machine: Machine, column: str = "score", text_col: st
     return append(docs, text_col, f"{column} double", make)
 
 
-def predictions(docs: DataFrame, machine: Machine, id_col: str = "doc_id") -> DataFrame:
+def predictions(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    own = docs.select(F.col(id_col).alias("doc_id"), "text")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return score(own, machine).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import append, held_out
+from rulequarry.llm.common import append, free_name, held_out, stored
 from rulequarry.llm.linear import sample
 from rulequarry.llm.minhash_forest import _some
 
@@ -159,7 +159,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, label: n
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    chosen = sample(docs, labels, label, rows, id_col, text_col)
+    chosen = stored(sample(docs, labels, label, rows, id_col, text_col), "sample")  # read three times
     counts = _counts(chosen).where(F.col("pos") + F.col("neg") >= LEAST_ROWS)
     totals = chosen.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in totals}
@@ -206,12 +206,13 @@ def score(docs: DataFrame, model: Model, column: str = "score", text_col: str =
     return append(docs, text_col, f"{column} double", make)
 
 
-def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    own = docs.select(F.col(id_col).alias("doc_id"), "text")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return score(own, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose score is below the threshold."""
-    return score(docs, train(docs, labels), "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+def keep_clean(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is below the threshold; all columns of docs, whatever their names."""
+    column = free_name(docs, "toxicity")
+    return score(docs, train(docs, labels, text_col=text_col), column, text_col).where(F.col(column) < THRESHOLD).drop(column)

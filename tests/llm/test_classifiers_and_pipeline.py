@@ -55,6 +55,38 @@ def test_empty_tables_and_one_class(tables, module):
     assert len(scores) == 1
 
 
+def test_clashing_names_and_labels_that_disagree(spark, tables):
+    docs, labels, _ = tables
+    named = docs.withColumn("_toxicity", docs.doc_id).withColumnRenamed("text", "body")
+    kept = toxicity.keep_clean(named, labels, "body")
+    assert kept.columns == named.columns and 0 < kept.count() < named.count()
+    twice = labels.union(labels.selectExpr("doc_id", "1 - quality", "1 - toxic"))
+    for module in (toxicity, quality):
+        model = module.train(named, twice, text_col="body")
+        assert len({r.score for r in module.predictions(named, model, text_col="body").collect()}) == 1
+
+
+def test_counts_and_ratios_equal_a_plain_count(spark, tables):
+    """The kept n-grams' weights rest on presence counts: held against plain sets of strings."""
+    docs, labels, truth = tables
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id < 60 AND doc_id <> 3").collect()]
+    some = spark.createDataFrame([(i, t, truth[i][1]) for i, t in rows], "doc_id long, text string, label int")
+    got = sorted((r.pos, r.neg) for r in toxicity._counts(some).collect())
+    seen = {}
+    for i, t in rows:
+        for g in toxicity_grams(t):
+            seen.setdefault(g, [0, 0])[1 - truth[i][1]] += 1
+    want = sorted(map(tuple, seen.values()))
+    # Hashing may join a few n-grams in one slot.
+    assert abs(len(got) - len(want)) <= 0.02 * len(want) and abs(sum(map(sum, got)) - sum(map(sum, want))) <= 0.02 * sum(map(sum, want))
+
+
+def toxicity_grams(text):
+    """n-grams of 3 to 6 code points of the text as the operator reads it, a space at either end."""
+    whole = f" {text.lower()} "
+    return {whole[a : a + n] for n in toxicity.SIZES for a in range(len(whole) - n + 1)}
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.3, rng.normal(size=quality.WIDTH), rng.normal(size=(quality.FACTORS, quality.WIDTH)))
