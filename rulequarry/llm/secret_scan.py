@@ -7,8 +7,9 @@ queries intersect and unite these postings; only the candidates are verified wit
 expression has no mandatory trigram scans every text.
 
 Defined results: null text is empty text; a row with a null id is verified with every rule; rows that share an id are
-candidates together and are reported each; an empty table gives an empty result; other columns of the input are not
-read. Positions are code points, the end is exclusive.
+candidates together and are reported each; an empty table gives an empty result; very long texts are scanned whole, in
+one row; other columns of the input, whatever their names, pass through redact() and are not read by digest().
+Positions are code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import texts
+from rulequarry.llm.common import stored, texts
 
 #: Documents of a block of the index; bounds every posting list.
 BLOCK_IDS = 256
+#: Candidates that are broadcast at most, some 100 bytes each; more of them meet their rows by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Strings that one literal stretch may stand for before it is cut.
 MAX_STRINGS = 64
 #: Trigrams that a string keeps in its query: the rarest ones; any subset of the mandatory trigrams is sound.
@@ -214,7 +217,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries for clause in q for some in clause for g in some})
     if grams:
-        rows = rows.join(candidates(trigram_index(texts(docs, id_col, text_col), grams), rules), "doc_id", "left")
+        asked_of = stored(candidates(trigram_index(texts(docs, id_col, text_col), grams), rules), "candidates")
+        # Few candidates go to the texts, so no text is shuffled.
+        few = asked_of.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        rows = rows.join(F.broadcast(asked_of) if few else asked_of, "doc_id", "left")
     else:
         rows = rows.withColumn("rules", F.lit(None).cast("array<int>"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
