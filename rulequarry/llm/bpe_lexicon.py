@@ -6,7 +6,7 @@ ids. The file is distributed by Spark and memory-mapped by the workers. Words ou
 in the order of the vocabulary's merges, so the result never depends on what the lexicon holds.
 
 Defined results: null text is empty text (no ids); rows with null or repeated ids are encoded like any other; an empty
-table gives an empty result; other columns are not read. The vocabulary's special token is one id, in a text too.
+table gives an empty result; very long texts are encoded whole; other columns, whatever their names, are not read. The vocabulary's special token is one id, in a text too.
 """
 
 from __future__ import annotations

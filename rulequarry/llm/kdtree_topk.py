@@ -8,7 +8,8 @@ searches start from it. All arithmetic is on integers that double precision hold
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither do rows without an
 id; of rows that share an id, the one with the smallest vector stands; vectors of different lengths are not compared;
-other columns are not read; an empty table gives an empty result.
+equal scores go to the smaller ids; other columns, whatever their names, are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

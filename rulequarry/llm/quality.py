@@ -7,7 +7,8 @@ line breaks, word lengths, repetition), and the length of the text, its metadata
 
 Trained by Adagrad on a bounded sample of labelled rows. Defined results: null and empty texts have the indicators of
 an empty text; rows with null or repeated ids are scored like any other; a sample of one class, or none, gives a
-constant score; an empty table gives an empty result; other columns pass through.
+constant score; an empty table gives an empty result; very long texts are read whole; where labels of one id disagree, 1
+stands; other columns, whatever their names, are not read by predictions().
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Every string of WINDOW bytes is judged: a byte goes if some such string that cov
    the keys of one shard in the others' by binary search.
 
 Defined results: null text is empty text; texts shorter than the window lose nothing; rows that share an id, or have
-none, are texts of their own; an empty table gives an empty result; other columns are not read.
+none, are texts of their own; very long texts are cut into runs like any other and judged whole; an empty table gives
+an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

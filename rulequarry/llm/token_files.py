@@ -6,7 +6,8 @@ row groups are kept small and the writer adds page indexes, so that a reader of
 and a reader of a few documents touches few pages. Each file holds the running number of ids before each row.
 
 Defined results: null text is empty text (the end id alone); null ids sort first; rows that share an id are all
-written; an empty table gives an empty result; other columns are not read.
+written, ordered by their texts; very long texts are encoded whole, one list each; an empty table gives an empty result;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ hashed counts of kept n-grams and sparse rows of the sample only; both are bound
 
 Defined results: null and empty texts have no n-gram and get the intercept's score; rows with null or repeated ids are
 scored like any other; rows of one class only, or none, give a constant score; an empty table gives an empty result;
-other columns pass through.
+very long texts are read whole, in overlapping blocks; where labels of one id disagree, 1 stands; n-grams of equal
+strength are kept by smaller hash; other columns, whatever their names, pass through keep_clean().
 """
 
 from __future__ import annotations
@@ -179,16 +180,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str
     p, q = top["pos"].to_numpy() + 1.0, top["neg"].to_numpy() + 1.0
     ratio = np.log((p / (pos + 2)) / (q / (neg + 2)))
 
+    narrow = np.min_scalar_type(max(len(kept) - 1, 0))
+
     def sparse(batches):
         slot = np.full(1 << HASH_BITS, -1, dtype=np.int32)
         slot[kept] = np.arange(len(kept), dtype=np.int32)
         for pdf in batches:
             text, feature = present(pdf["text"].tolist(), slot)
             cuts = np.searchsorted(text, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "features": [feature[a:b].astype(np.int16).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "features": [feature[a:b].astype(narrow).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
     table = chosen.mapInPandas(sparse, "doc_id long, label int, features binary").toPandas().sort_values(["doc_id", "features"])
-    features = [np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in table["features"]]
+    features = [np.frombuffer(x, dtype=narrow).astype(np.int64) for x in table["features"]]
     owner = np.repeat(np.arange(len(features)), [len(x) for x in features])
     column = np.concatenate(features) if features else np.zeros(0, dtype=np.int64)
     weight, bias = logistic(owner, column, ratio[column], table["label"].to_numpy(dtype=float), len(kept))

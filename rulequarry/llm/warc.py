@@ -7,7 +7,8 @@ member only if the header inflates to a WARC record, owns the records that start
 of them beyond its end.
 
 Defined results: null html is an empty payload; a page with a null id is a response of its own that no revisit refers
-to; rows that share the smallest id of a payload are all responses; an empty table gives an empty archive and result.
+to; rows that share the smallest id of a payload are all responses; a very long payload is one record, read whole; an empty
+table gives an empty archive and result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -81,6 +81,16 @@ def test_counts_and_ratios_equal_a_plain_count(spark, tables):
     assert abs(len(got) - len(want)) <= 0.02 * len(want) and abs(sum(map(sum, got)) - sum(map(sum, want))) <= 0.02 * sum(map(sum, want))
 
 
+def test_more_features_than_a_short_number_holds(tables, monkeypatch):
+    docs, labels, truth = tables
+    monkeypatch.setattr(toxicity, "KEPT", 50_000)
+    monkeypatch.setattr(toxicity, "LEAST_ROWS", 1)
+    model = toxicity.train(docs, labels)
+    assert len(model.kept) > 1 << 15
+    rows = [r for r in toxicity.predictions(docs, model).collect() if r.doc_id in truth and not r.held_out]
+    assert sum(r.predicted == truth[r.doc_id][1] for r in rows) / len(rows) > 0.95
+
+
 def toxicity_grams(text):
     """n-grams of 3 to 6 code points of the text as the operator reads it, a space at either end."""
     whole = f" {text.lower()} "
