@@ -85,8 +85,8 @@ def free_name(df: DataFrame, name: str) -> str:
     return out
 
 
-def blocks(items: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of items whose bytes fit in limit; a longer item stands alone."""
+def blocks(items: list[bytes] | list[str], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose lengths fit in limit; a longer item stands alone."""
     at, size = 0, 0
     for i, x in enumerate(items):
         if size and size + len(x) > limit:

@@ -125,14 +125,20 @@ class Searcher:
         self.owners = [[(owners[p], p.count(b" ") - 1) for p in e.patterns] for e in self.engines]
 
     def search(self, batch: list[str]) -> tuple[list[int], list[list[int]], list[set[str]]]:
-        """For each text: its number of words; flat (from, to) word ranges that are hit, apart and ascending; items."""
-        split = [words(t) for t in batch]
-        joined = [b" " + b" ".join(w) + b" \n" if w else b"\n" for w in split]
+        """For each text: its number of words; flat (from, to) word ranges that are hit, apart and ascending; items.
+
+        Words are held for one block of texts at a time.
+        """
+        n: list[int] = []
         hit: list[list[int]] = [[] for _ in batch]
         items: list[set[str]] = [set() for _ in batch]
-        for a, b in blocks(joined):
-            text = b"".join(joined[a:b])
-            base = np.concatenate(([0], np.cumsum([len(x) for x in joined[a:b]])))
+        for a, b in blocks(batch):
+            split = [words(t) for t in batch[a:b]]
+            joined = [b" " + b" ".join(w) + b" \n" if w else b"\n" for w in split]
+            n += [len(w) for w in split]
+            del split
+            text = b"".join(joined)
+            base = np.concatenate(([0], np.cumsum([len(x) for x in joined])))
             spaces = None
             spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for engine, owners in zip(self.engines, self.owners, strict=True):
@@ -145,12 +151,12 @@ class Searcher:
                 docs = np.searchsorted(base, starts, side="right") - 1
                 word = spaces[starts] - spaces[base[docs]]
                 for d, w, (_, k) in zip(docs.tolist(), word.tolist(), found, strict=True):
-                    ids, n = owners[k]
+                    ids, length = owners[k]
                     items[a + d] |= ids
-                    spans[a + d].append((w, w + n))
+                    spans[a + d].append((w, w + length))
             for d, own in spans.items():
                 hit[d] = merged(own)
-        return [len(w) for w in split], hit, items
+        return n, hit, items
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
