@@ -124,8 +124,10 @@ class Model:
         slot[self.kept] = np.arange(len(self.kept), dtype=np.int32)
 
         def score(batch: list[str]) -> np.ndarray:
-            text, feature = present(batch, slot)
-            z = self.bias + np.bincount(text, weights=self.weight[feature], minlength=len(batch))
+            z = np.full(len(batch), float(self.bias))
+            for a, b in _some(batch):
+                text, feature = present(batch[a:b], slot)
+                z[a:b] += np.bincount(text, weights=self.weight[feature], minlength=b - a)
             return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
         return score
@@ -186,9 +188,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str
         slot = np.full(1 << HASH_BITS, -1, dtype=np.int32)
         slot[kept] = np.arange(len(kept), dtype=np.int32)
         for pdf in batches:
-            text, feature = present(pdf["text"].tolist(), slot)
-            cuts = np.searchsorted(text, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "features": [feature[a:b].astype(narrow).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+            given, features = pdf["text"].tolist(), []
+            for a, b in _some(given):
+                text, feature = present(given[a:b], slot)
+                cuts = np.searchsorted(text, np.arange(b - a + 1))
+                features += [feature[x:y].astype(narrow).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "features": features})
 
     table = chosen.mapInPandas(sparse, "doc_id long, label int, features binary").toPandas().sort_values(["doc_id", "features"])
     features = [np.frombuffer(x, dtype=narrow).astype(np.int64) for x in table["features"]]
