@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import stored, texts
+from rulequarry.llm.common import resident, stored, texts, tidy
 from rulequarry.llm.units import UnitEncoder
 
 #: Frequent words that the lexicon holds; bounds the file and what the driver reads.
@@ -385,7 +385,7 @@ def count_words(docs: DataFrame, vocabulary: str) -> DataFrame:
         if counts:
             yield given()
 
-    return docs.select("text").mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(tidy(counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS) -> str:
@@ -438,15 +438,9 @@ class Encoder:
         return self.vocab.decode(ids.tolist())
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def _encoder(vocabulary: str, name: str) -> Encoder:
-    """One encoder for each worker process, whatever number of tasks it runs."""
-    if (vocabulary, name) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[vocabulary, name] = Encoder(vocabulary, Lexicon.load(SparkFiles.get(name)))
-    return _ENCODERS[vocabulary, name]
+    """One encoder for each worker process, whatever number of tasks it runs; its key is (vocabulary, name)."""
+    return resident((vocabulary, name), lambda: Encoder(vocabulary, Lexicon.load(SparkFiles.get(name))))
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
@@ -463,7 +457,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)], names=["doc_id", "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(tidy(run, (vocabulary, name)), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -474,7 +468,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [vocab.decode(list(x)) for x in pdf["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInPandas(tidy(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
@@ -494,4 +488,4 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 decoded.append(hashlib.sha256(encoder.vocab.decode(x).encode()).hexdigest())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": given, "decoded_sha256": decoded})
 
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInPandas(tidy(run, (vocabulary, name)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that vectorised byte kernels take at once; keeps their arrays small and in cache.
 BLOCK_BYTES = 1 << 20
+#: Rows that append() takes at once.
+PASSED = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -117,11 +120,54 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def append(docs: DataFrame, text_col: str, added: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]]) -> DataFrame:
+#: What this worker process keeps from task to task, by its key.
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """make()'s result, built once for each worker process and kept until a task of another key starts.
+
+    Tasks must call this by name: a dictionary that a task's own function refers to is a new one in every task.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def keep_only(key) -> None:
+    """Drops what this worker process kept for tasks of other keys."""
+    for k in [k for k in _RESIDENT if k != key]:
+        del _RESIDENT[k]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Arrow's pool and the C library hold it otherwise while the worker is idle."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable, key=None) -> Callable:
+    """run, a function from batches to batches, as tasks should call it: a worker that has ended a task holds no more
+    than resident() keeps for `key`, and one that starts a task nothing of other keys."""
+
+    def task(batches):
+        keep_only(key)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def append(docs: DataFrame, text_col: str, added: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]], key=None) -> DataFrame:
     """docs with columns computed from text_col, batch by batch; every other column passes through untouched.
 
-    make() runs once a task and gives the function from texts (null: empty) to the added columns. Added names that docs
-    already has are refused.
+    make() runs once a task and gives the function from texts (null: empty) to the added columns; key is that of what
+    it takes from resident(). PASSED rows are taken at once. Added names that docs already has are refused.
     """
     extra = T.StructType.fromDDL(added)
     if clash := {f.name.lower() for f in extra} & {c.lower() for c in docs.columns}:
@@ -132,7 +178,9 @@ def append(docs: DataFrame, text_col: str, added: str, make: Callable[[], Callab
     def run(batches):
         f = make()
         for batch in batches:
-            given = [x or "" for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *f(given)], names=names)
+            for a in range(0, len(batch), PASSED):
+                part = batch.slice(a, PASSED)
+                given = [x or "" for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, *f(given)], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), *extra]))
+    return docs.mapInArrow(tidy(run, key), T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), *extra]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import append, blocks, free_name, ranges, stored
+from rulequarry.llm.common import append, blocks, free_name, ranges, resident, stored
 
 WINDOW_WORDS = 10
 #: Bytes of items that one broadcast holds.
@@ -182,9 +182,6 @@ def _unite(flat, x):
     return F.when((F.size(flat) > 0) & (last >= x["a"]), longer).otherwise(F.concat(flat, F.array(x["a"], x["b"])))
 
 
-#: The tables that this worker process has built, kept from task to task.
-_SEARCHERS: dict[str, Searcher] = {}
-
 #: The columns that mark() adds: words, flat word ranges of hits, sorted ids as text.
 ADDED = ("_n_words", "_hits", "_items")
 
@@ -206,11 +203,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, text_c
         part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k)
         held = sc.broadcast([(r["item_id"], r["text"]) for r in part.collect()])  # about chunk_bytes
 
-        def make(held=held, key=uuid.uuid4().hex):
-            if key not in _SEARCHERS:
-                _SEARCHERS.clear()
-                _SEARCHERS[key] = Searcher(held.value, size)
-            searcher = _SEARCHERS[key]
+        key = uuid.uuid4().hex
+
+        def make(held=held, key=key):
+            searcher = resident(key, lambda: Searcher(held.value, size))
 
             def columns(batch: list[str]) -> list[pa.Array]:
                 n, hit, found = searcher.search(batch)
@@ -220,7 +216,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, text_c
 
         names.append([free_name(out, f"{c.strip('_')}_{k}") for c in added])
         n_words, hits, found = names[-1]
-        out = append(out, text_col, f"`{n_words}` long, `{hits}` array<long>, `{found}` array<string>", make)
+        out = append(out, text_col, f"`{n_words}` long, `{hits}` array<long>, `{found}` array<string>", make, key)
         if chunks > 1:
             out = stored(out, "marked")
             held.unpersist()

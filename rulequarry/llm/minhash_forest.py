@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import free_name, mix64, stored
+from rulequarry.llm.common import free_name, mix64, stored, tidy
 from rulequarry.llm.components import components
 from rulequarry.llm.textkernel import shingle_sets
 
@@ -132,7 +132,7 @@ def sketch(rows: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(np.diff(at)), pa.array(_digests(h, at), pa.binary()), _packed(both), _packed(bits)], names=["doc_id", "mark", "n", "digest", "labels", "bits"])
 
-    return rows.mapInArrow(run, "doc_id long, mark long, n long, digest binary, labels binary, bits binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, mark long, n long, digest binary, labels binary, bits binary")
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -193,8 +193,8 @@ def forest(nodes: DataFrame, percent: int) -> DataFrame:
             none = np.zeros(0, dtype=np.int64)
             yield met(*held[0], np.ones(1, dtype=bool), none, none, none)
 
-    rows = nodes.select("node", "labels", "bits").mapInArrow(dealt, "key long, tail long, node long, bits binary")
-    return stored(rows.repartitionByRange(parts, "key", "tail", "node").sortWithinPartitions("key", "tail", "node").mapInArrow(read, MET), "forest")
+    rows = nodes.select("node", "labels", "bits").mapInArrow(tidy(dealt), "key long, tail long, node long, bits binary")
+    return stored(rows.repartitionByRange(parts, "key", "tail", "node").sortWithinPartitions("key", "tail", "node").mapInArrow(tidy(read), MET), "forest")
 
 
 def _classes(nodes: DataFrame, joined: DataFrame | None, column: str, name: str) -> DataFrame:
@@ -273,7 +273,7 @@ def open_forest(met: DataFrame, joined: DataFrame | None, percent: int) -> DataF
         if unit and done():
             yield pairs(rows)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def shingles_of(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def shingles_of(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
                 sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), sets], names=["node", "shingles"])
 
-    held = rows.join(asked, ["doc_id", "mark"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    held = rows.join(asked, ["doc_id", "mark"]).select("node", "text").mapInArrow(tidy(run), "node long, shingles array<long>")
     return stored(held, "sets")
 
 
@@ -391,11 +391,11 @@ def compared(edges: DataFrame, joined: DataFrame | None, rows: DataFrame, nodes:
                 sets = pa.array([h[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sets], names=[*names, "shingles"])
 
-    sets = rows.join(placed, ["doc_id", "mark"]).select(*names, "text").mapInArrow(shingles, "node long, grp long, class long, blocks int, block int, shingles binary")
+    sets = rows.join(placed, ["doc_id", "mark"]).select(*names, "text").mapInArrow(tidy(shingles), "node long, grp long, class long, blocks int, block int, shingles binary")
     units = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "shingles", "class")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = units.repartition(parts, "grp", "one", "two").sortWithinPartitions("grp", "one", "two")
-    return stored(dealt.mapInArrow(lambda batches: _compare(batches, percent), "a long, b long"), "links")
+    return stored(dealt.mapInArrow(tidy(lambda batches: _compare(batches, percent)), "a long, b long"), "links")
 
 
 def classes(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import append, held_out
+from rulequarry.llm.common import append, held_out, tidy
 from rulequarry.llm.linear import sample
 from rulequarry.llm.minhash_forest import _some
 from rulequarry.llm.textkernel import LOWER, word_hashes
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str
                 part = pdf.iloc[a:b]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "features": [feature[x:y].astype(np.int32).tobytes() for x, y in pairs], "amounts": [value[x:y].astype(np.float32).tobytes() for x, y in pairs]})
 
-    table = chosen.mapInPandas(sparse, "doc_id long, label int, features binary, amounts binary").toPandas().sort_values(["doc_id", "features"])
+    table = chosen.mapInPandas(tidy(sparse), "doc_id long, label int, features binary, amounts binary").toPandas().sort_values(["doc_id", "features"])
     rows_of = [(np.frombuffer(x, dtype=np.int32).astype(np.int64), np.frombuffer(v, dtype=np.float32).astype(np.float64)) for x, v in zip(table["features"], table["amounts"], strict=True)]
     return fit(rows_of, table["label"].to_numpy(dtype=float))
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import scratch, texts
+from rulequarry.llm.common import resident, scratch, texts, tidy
 from rulequarry.llm.units import UnitEncoder
 
 END_ID = 0
@@ -29,47 +29,47 @@ PAGE_BYTES = 64 << 10
 #: Units that are encoded as one text.
 JOINED_UNITS = 4096
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+
+def _unit_encoder(vocabulary: str) -> UnitEncoder:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+
+    size = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], dtype=np.int64)
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def alone(batch: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<i4").tobytes() for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+
+    def units(batch: list[str]) -> list[bytes]:
+        """Units that begin with a lone space are encoded as one long text, and told apart by the bytes of their ids."""
+        out: list[bytes | None] = [None] * len(batch)
+        joined = [i for i, u in enumerate(batch) if u[:1] == " " and len(u.strip()) == len(u) - 1 > 0]
+        if any(x in "".join(batch) for x in special):
+            joined = [i for i in joined if not any(x in batch[i] for x in special)]
+        for a in range(0, len(joined), JOINED_UNITS):
+            some = joined[a : a + JOINED_UNITS]
+            ids = np.array(tokenizer.encode_batch_fast(["".join([batch[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<i4")
+            ends = np.cumsum([len(batch[i].encode()) for i in some])
+            at = np.searchsorted(np.cumsum(size[ids]), ends)
+            if not len(ids) or at[-1] != len(ids) - 1:
+                raise ValueError("the vocabulary's tokens do not add up to the text")
+            data = ids.tobytes()
+            for i, x, y in zip(some, [0, *(at[:-1] + 1).tolist()], (at + 1).tolist(), strict=True):
+                out[i] = data[4 * x : 4 * y]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, alone([batch[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    return UnitEncoder(units)
 
 
 def _encoder(vocabulary: str) -> UnitEncoder:
-    """One encoder for each worker process."""
-    if vocabulary not in _ENCODERS:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-
-        size = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], dtype=np.int64)
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-        def alone(batch: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<i4").tobytes() for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-
-        def units(batch: list[str]) -> list[bytes]:
-            """Units that begin with a lone space are encoded as one long text, and told apart by the bytes of their ids."""
-            out: list[bytes | None] = [None] * len(batch)
-            joined = [i for i, u in enumerate(batch) if u[:1] == " " and len(u.strip()) == len(u) - 1 > 0]
-            if any(x in "".join(batch) for x in special):
-                joined = [i for i in joined if not any(x in batch[i] for x in special)]
-            for a in range(0, len(joined), JOINED_UNITS):
-                some = joined[a : a + JOINED_UNITS]
-                ids = np.array(tokenizer.encode_batch_fast(["".join([batch[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<i4")
-                ends = np.cumsum([len(batch[i].encode()) for i in some])
-                at = np.searchsorted(np.cumsum(size[ids]), ends)
-                if not len(ids) or at[-1] != len(ids) - 1:
-                    raise ValueError("the vocabulary's tokens do not add up to the text")
-                data = ids.tobytes()
-                for i, x, y in zip(some, [0, *(at[:-1] + 1).tolist()], (at + 1).tolist(), strict=True):
-                    out[i] = data[4 * x : 4 * y]
-            rest = [i for i, x in enumerate(out) if x is None]
-            for i, x in zip(rest, alone([batch[i] for i in rest]), strict=True):
-                out[i] = x
-            return out
-
-        _ENCODERS[vocabulary] = UnitEncoder(units)
-    return _ENCODERS[vocabulary]
+    """One encoder for each worker process; its key is the vocabulary."""
+    return resident(vocabulary, lambda: _unit_encoder(vocabulary))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
@@ -94,7 +94,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     (
         rows.repartitionByRange(parts, "doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(run, "shard int, doc_id long, before long, n_tokens long, ids array<int>")
+        .mapInArrow(tidy(run, vocabulary), "shard int, doc_id long, before long, n_tokens long, ids array<int>")
         .write.option("parquet.block.size", str(ROW_GROUP_BYTES))
         .option("parquet.page.size", str(PAGE_BYTES))
         .option("parquet.writer.version", "PARQUET_2_0")
@@ -124,7 +124,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_check(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import append, free_name, held_out, stored
+from rulequarry.llm.common import append, free_name, held_out, stored, tidy
 from rulequarry.llm.linear import sample
 from rulequarry.llm.minhash_forest import _some
 
@@ -110,7 +110,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             part = some[a : a + (1 << 18)]
             yield pd.DataFrame({"gram": part, "pos": counts[1][part], "neg": counts[0][part]})
 
-    return rows.mapInPandas(run, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rows.mapInPandas(tidy(run), "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 class Model:
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str
                 features += [feature[x:y].astype(narrow).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "features": features})
 
-    table = chosen.mapInPandas(sparse, "doc_id long, label int, features binary").toPandas().sort_values(["doc_id", "features"])
+    table = chosen.mapInPandas(tidy(sparse), "doc_id long, label int, features binary").toPandas().sort_values(["doc_id", "features"])
     features = [np.frombuffer(x, dtype=narrow).astype(np.int64) for x in table["features"]]
     owner = np.repeat(np.arange(len(features)), [len(x) for x in features])
     column = np.concatenate(features) if features else np.zeros(0, dtype=np.int64)
