@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,25 @@ class Catalog:
             self._projections[key] = self.tables[table].select(*[F.col(f"`{c}`") for c in columns]).distinct()
         return self._projections[key]
 
+    def differing(self, table: str, columns: tuple[str, ...], key: str, others: int) -> DataFrame:
+        """The distinct rows of a projection, each with others + 1 values of a further column, or all if there are fewer.
+
+        Whatever `others` values are given, a row has a value that differs from all of them if and only if one of those
+        kept does. A null differs from nothing and is left out.
+        """
+        memo = (table, columns, key, others)
+        if memo not in self._projections:
+            own, value = [F.col(f"`{c}`") for c in columns], F.col(f"`{key}`")
+            some = self.tables[table].select(*own, value).where(value.isNotNull())
+            if others == 1:
+                ends = some.groupBy(*own).agg(F.array(F.min(value), F.max(value)).alias(key))
+                some = ends.select(*own, F.explode(F.array_distinct(F.filter(value, lambda x: x.isNotNull()))).alias(key))
+            else:
+                at = free_column("_at", some.columns)
+                some = some.distinct().withColumn(at, F.row_number().over(Window.partitionBy(*own).orderBy(value))).where(F.col(at) <= others + 1).drop(at)
+            self._projections[memo] = some
+        return self._projections[memo]
+
     def statistics(self) -> DataFrame:
         """(table_name, n_rows, n_columns, n_foreign_keys) of every table, counted in one job."""
         parts = [self.tables[t].agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows", F.lit(self.arity(t)).cast("long").alias("n_columns"), F.lit(sum(k.table == t for k in self.foreign_keys)).cast("long").alias("n_foreign_keys")) for t in self.table_names()]
@@ -109,6 +128,13 @@ class Catalog:
         return out
 
 
+def free_column(name: str, taken: list[str]) -> str:
+    """A column name after `name` that is not taken, in any case of letters."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def truthy(column, domain: str):
     """The value as text, or null where it is null, empty, zero or false."""
     if domain == "boolean":

@@ -1,9 +1,10 @@
 """Conjunctive queries: occurrences of tables, equalities between their columns, a projection.
 
-One representation serves counting, existence tests, the miner and the audit. Plans are DataFrame joins. Two rewrites
+One representation serves counting, existence tests, the miner and the audit. Plans are DataFrame joins. Three rewrites
 that the optimizer does not make are made here: every occurrence is reduced to the distinct rows of the columns that
 the query needs before it is joined, and where the projection lies in one occurrence of an acyclic query the others
-are folded in by semi-joins, so no intermediate result outgrows a table.
+are folded in by semi-joins, so no intermediate result outgrows a table. Of a primary key that is asked for only
+because occurrences must differ in it, one more value than there are others to differ from tells as much as all.
 """
 
 from __future__ import annotations
@@ -89,13 +90,16 @@ class Planner:
     def _scan(self, query: Query, occurrence: Occurrence, apart: list, distinct: bool) -> DataFrame:
         table, j = occurrence
         terms = {t for e in query.equalities for t in e} | set(query.project)
-        columns = {t[2] for t in terms if t[:2] == occurrence}
-        if any(t == table and j in (a, b) for t, a, b in apart):
-            columns |= set(self.catalog.primary_keys.get(table, ()))
+        own = {t[2] for t in terms if t[:2] == occurrence}
+        others = sum(t == table and j in (a, b) for t, a, b in apart)
+        columns = own | set(self.catalog.primary_keys.get(table, ()) if others else ())
         kept = tuple(c for c in self.catalog.columns(table) if c in columns)
         if missing := columns - set(kept):
             raise ValueError(f"unknown column {table}.{sorted(missing)[0]}")
-        if distinct and kept:
+        key = columns - own
+        if distinct and len(key) == 1 == len(self.catalog.primary_keys[table]):
+            df = self.catalog.differing(table, tuple(c for c in kept if c in own), *key, others)
+        elif distinct and kept:
             df = self.catalog.distinct(table, kept)
         else:
             df = self.catalog.tables[table].select(*[F.col(f"`{c}`") for c in kept])
@@ -117,6 +121,15 @@ class Planner:
                 out.append((a[0], b[0]))
         return out
 
+    def _impossible(self, query: Query) -> bool:
+        """Whether two occurrences must differ that cannot: no primary key tells them apart, or all of it is set equal.
+
+        Classes of several types are left to the data: a number compared with one of another type may equal two.
+        """
+        groups = [c for c in _classes(query) if len({self.catalog.domain(t[0], t[2]) for t in c}) == 1]
+        same = lambda a, b: any(a in c and b in c for c in groups)
+        return any(all(same((t, i, c), (t, j, c)) for c in self.catalog.primary_keys.get(t, ())) for t, i, j in self._repeated(query))
+
     def _tree(self, query: Query, apart: list) -> list[tuple[Occurrence, Occurrence]] | None:
         """(leaf, neighbour) in the order in which leaves may be folded into the projection's occurrence, or None."""
         homes = {t[:2] for t in query.project}
@@ -136,7 +149,7 @@ class Planner:
                 shared = {n for n in held[leaf] if any(n in held[o] for o in others)}
                 partners = {(t, b if (t, a) == leaf else a) for t, a, b in apart if leaf in ((t, a), (t, b))}
                 gone = {x for x, _ in out}
-                near = [o for o in others if shared and shared <= held[o] and partners <= {o} and not partners & gone]
+                near = [o for o in others if (shared or partners) and shared <= held[o] and partners <= {o} and not partners & gone]
                 if near:
                     out.append((leaf, home if home in near else near[0]))
                     left.remove(leaf)
@@ -229,7 +242,7 @@ class Planner:
         """The counts of many queries, `jobs` of them planned and run side by side; equal queries are counted once."""
         keys = [q.key() for q in queries]
         ask: dict[tuple, Query] = dict(zip(keys, queries, strict=True))
-        found: dict[tuple, int] = {k: 0 for k, q in ask.items() if not q.occurrences}
+        found: dict[tuple, int] = {k: 0 for k, q in ask.items() if not q.occurrences or self._impossible(q)}
         todo = [k for k in ask if k not in found]
         with ThreadPoolExecutor(jobs) as pool:
             found.update(zip(todo, pool.map(lambda k: self.count(ask[k]).first()["n"], todo), strict=True))

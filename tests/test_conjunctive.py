@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -89,3 +90,52 @@ def test_semijoins_equal_joins_on_random_queries(spark):
     assert fast.counts(asked) == naive.counts(asked)
     semi = fast.rows(Query((("r", 0), ("s", 0)), ((("r", 0, "a"), ("s", 0, "a")),), (("r", 0, "k"),)))
     assert "LeftSemi" in semi._jdf.queryExecution().optimizedPlan().toString()
+
+
+def brute_force(tables, keys, q):
+    """Distinct projected tuples, over all combinations of rows."""
+    found = set()
+    for rows in itertools.product(*(tables[t] for t, _ in q.occurrences)):
+        at = dict(zip(q.occurrences, rows, strict=True))
+        get = lambda t: at[t[:2]][t[2]]
+        pairs = [(at[o], at[u], keys[o[0]]) for o, u in itertools.combinations(q.occurrences, 2) if o[0] == u[0]]
+        differ = all(any(None not in (x[c], y[c]) and x[c] != y[c] for c in key) for x, y, key in pairs)
+        if (differ or not q.disjoint) and all(get(a) is not None and get(a) == get(b) for a, b in q.equalities):
+            found.add(tuple(map(get, q.project)))
+    return len(found)
+
+
+def test_occurrences_that_must_differ_equal_brute_force(spark):
+    rng = random.Random(11)
+    value = lambda: rng.choice([None, 0, 1])
+    keys = {"r": ("k",), "s": ("k", "a"), "t": ()}
+    for rows in (0, 1, 2, 7):
+        tables = {n: [(rng.choice([None, 1, 2, 3, 4]), value(), value()) for _ in range(rows)] for n in keys}
+        p = Planner(catalog(spark, {n: ("k int, a int, b int", own) for n, own in tables.items()}, keys))
+        plain = {n: [dict(zip("kab", r, strict=True)) for r in own] for n, own in tables.items()}
+        asked = []
+        for _ in range(12):
+            atoms = [(t, j) for t, n in zip("rst", rng.choice([(2, 0, 1), (3, 0, 0), (2, 1, 0), (3, 1, 0), (1, 2, 0), (1, 0, 2)]), strict=True) for j in range(n)]
+            pick = lambda: (*rng.choice(atoms), rng.choice("abk"))
+            pairs = tuple((pick(), pick()) for _ in range(rng.randint(0, 2)))
+            asked.append(Query(tuple(atoms), pairs, tuple({pick() for _ in range(rng.randint(1, 2))}), True))
+        assert p.counts(asked) == [brute_force(plain, keys, q) for q in asked]
+
+
+def test_no_pairs_of_rows_that_only_must_differ(spark):
+    """200 million pairs otherwise; two keys of the other occurrence tell as much."""
+    c = Catalog({"o": spark.range(20000).selectExpr("id AS k", "id % 100 AS c")}, {"o": ("k",)})
+    p = Planner(c)
+    q = Query((("o", 0), ("o", 1)), (), (("o", 0, "c"),), True)
+    assert p._scan(q, ("o", 1), p._repeated(q), True).count() == 2
+    linked = Query(q.occurrences, ((("o", 0, "c"), ("o", 1, "c")),), q.project, True)
+    assert p._scan(linked, ("o", 1), p._repeated(linked), True).count() == 200
+    assert p.counts([q, linked]) == [100, 100]
+
+
+def test_what_cannot_differ_is_not_planned(spark, monkeypatch):
+    c = catalog(spark, {"o": ("k int, c int", [(1, 1), (2, 1)]), "n": ("v int", [(1,), (1,)])}, {"o": ("k",)})
+    p = Planner(c)
+    monkeypatch.setattr(p, "count", lambda q: pytest.fail("planned"))
+    two = lambda t, col: Query(((t, 0), (t, 1)), (((t, 0, col), (t, 1, col)),), ((t, 0, col),), True)
+    assert p.counts([two("o", "k"), two("n", "v")]) == [0, 0]
