@@ -147,6 +147,7 @@ def _search(planner: Planner, names: Names, pairs: list, s: Settings, over: Call
     for n, c in enumerate(found):
         levels[len(c.path)].append(n)
     empty: set[frozenset] = set()
+    known: dict[str, int] = {}
     rules: dict[tuple[int, tuple], tuple[int, int, int, int]] = {}
     linked = lambda c: frozenset(frozenset((a, b)) for cls in c.classes for i, a in enumerate(cls) for b in cls[i + 1 :])
     for level in sorted(levels):
@@ -155,10 +156,10 @@ def _search(planner: Planner, names: Names, pairs: list, s: Settings, over: Call
         alive = [n for n in levels[level] if not empty or not any(e <= linked(found[n]) for e in empty)]
         asked = [(n, body, head) for n in alive for body, head in horn_splits(found[n])]
         plans = [metrics_queries(found[n], body, head, names, s.disjoint_semantics) for n, body, head in asked]
-        support = planner.counts([p[0] for p in plans])
+        support = planner.counts([p[0] for p in plans], known=known)
         kept = [k for k, v in enumerate(support) if v >= s.support_threshold]
         empty |= {linked(found[asked[k][0]]) for k, v in enumerate(support) if v == 0}
-        rest = planner.counts([q for k in kept for q in plans[k][1:]])
+        rest = planner.counts([q for k in kept for q in plans[k][1:]], known=known)
         for i, k in enumerate(kept):
             n, _, head = asked[k]
             rules[n, head] = (support[k], *rest[3 * i : 3 * i + 3])

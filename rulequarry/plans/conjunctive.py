@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, permutations, product
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,13 +159,17 @@ class Planner:
                 return None
         return out
 
+    @staticmethod
+    def _complete(query: Query) -> Query:
+        """The query with every occurrence that its terms name, each part once."""
+        named = {o for e in query.equalities for o in (e[0][:2], e[1][:2])} | {t[:2] for t in query.project}
+        return Query(tuple(dict.fromkeys((*query.occurrences, *sorted(named - set(query.occurrences))))), query.equalities, tuple(dict.fromkeys(query.project)), query.disjoint)
+
     def rows(self, query: Query, distinct: bool = True) -> DataFrame:
         """The projected rows, each once; with distinct=False one for every match."""
         if not query.occurrences:
             raise ValueError("a query needs an occurrence")
-        query = Query(tuple(dict.fromkeys(query.occurrences)), query.equalities, tuple(dict.fromkeys(query.project)), query.disjoint)
-        unknown = {o for e in query.equalities for o in (e[0][:2], e[1][:2])} | {t[:2] for t in query.project}
-        query = Query(tuple(dict.fromkeys((*query.occurrences, *sorted(unknown - set(query.occurrences))))), query.equalities, query.project, query.disjoint)
+        query = self._complete(query)
         apart = self._repeated(query)
         reduced = distinct and bool(query.project)
         order = self._tree(query, apart) if reduced and self.semijoins else None
@@ -238,15 +243,75 @@ class Planner:
             return self.count_now(query, distinct=bool(query.project)) > threshold
         return self.rows(query, distinct=bool(query.project)).limit(threshold + 1).count() > threshold
 
-    def counts(self, queries: Sequence[Query], jobs: int = 8) -> list[int]:
-        """The counts of many queries, `jobs` of them planned and run side by side; equal queries are counted once."""
-        keys = [q.key() for q in queries]
-        ask: dict[tuple, Query] = dict(zip(keys, queries, strict=True))
-        found: dict[tuple, int] = {k: 0 for k, q in ask.items() if not q.occurrences or self._impossible(q)}
-        todo = [k for k in ask if k not in found]
+    def _uniform(self, query: Query) -> list[frozenset[Term]] | None:
+        """The equality classes if each holds columns of one type only: what is equal then stands for each other."""
+        groups = _classes(query)
+        return groups if all(len({self.catalog.domain(t[0], t[2]) for t in c}) == 1 for c in groups) else None
+
+    def _moved(self, query: Query) -> Query:
+        """The query with its projection in one occurrence, if equal columns allow it and its joins can be folded there."""
+        groups = self._uniform(query)
+        if not groups or not query.project:
+            return query
+        options = list(dict.fromkeys(next((c for c in groups if t in c), frozenset((t,))) for t in query.project))
+        homes = []
+        for o in dict.fromkeys(query.occurrences):
+            own = tuple(sorted(min(x) for c in options if (x := [t for t in c if t[:2] == o])))
+            if len(own) == len(options):
+                key = self.catalog.primary_keys.get(o[0])
+                homes.append((not key or not set(key) <= {t[2] for t in own}, o, own))
+        for _, _, own in sorted(homes):
+            moved = Query(query.occurrences, query.equalities, own, query.disjoint)
+            if len(query.occurrences) == 1 or self._tree(moved, self._repeated(moved)):
+                return moved
+        return Query(query.occurrences, query.equalities, tuple(sorted(map(min, options))), query.disjoint)
+
+    def _form(self, query: Query) -> tuple:
+        """Equal for queries of equal counts that differ in order, in the numbers of occurrences or by equal columns."""
+        groups = self._uniform(query)
+        if groups is None:
+            return query.key()
+        by_table: dict[str, list[int]] = defaultdict(list)
+        for t, j in dict.fromkeys(query.occurrences):
+            by_table[t].append(j)
+
+        def written(numbers: dict[Occurrence, int]) -> tuple:
+            new = lambda t: (t[0], numbers[t[:2]], t[2])
+            wanted = [next((c for c in groups if t in c), (t,)) for t in query.project]
+            return sorted(tuple(sorted(map(new, c))) for c in groups), sorted({tuple(sorted(map(new, c))) for c in wanted})
+
+        ways = product(*(permutations(range(len(js))) for js in by_table.values()))
+        least = min(written({(t, j): n for (t, js), way in zip(by_table.items(), chosen, strict=True) for j, n in zip(js, way, strict=True)}) for chosen in ways)
+        return sorted((t, len(js)) for t, js in by_table.items()), *least, query.disjoint and max(map(len, by_table.values())) > 1
+
+    def counts(self, queries: Sequence[Query], jobs: int = 8, known: dict[str, int] | None = None) -> list[int]:
+        """The counts of many queries, `jobs` of them planned and run side by side; equal parts are counted once.
+
+        known: counts of earlier calls over the same data, which are not made again; those of this call are added.
+        """
+        known = {} if known is None else known
+        whole, ask = [], {}
+        for q in queries:
+            if not q.occurrences or self._impossible(q):
+                whole.append(None)
+                continue
+            parts = []
+            for part in self._unlinked(self._complete(q)) if q.project else [q]:
+                part = self._moved(part)
+                key = str((self._form(part), bool(q.project)))
+                if key not in known:
+                    ask.setdefault(key, (part, bool(q.project)))
+                parts.append(key)
+            whole.append(parts)
         with ThreadPoolExecutor(jobs) as pool:
-            found.update(zip(todo, pool.map(lambda k: self.count(ask[k]).first()["n"], todo), strict=True))
-        return [found[k] for k in keys]
+            known.update(zip(ask, pool.map(lambda x: self._part(*x), ask.values()), strict=True))
+        return [0 if parts is None else prod(known[k] for k in parts) for parts in whole]
+
+    def _part(self, query: Query, projected: bool) -> int:
+        """The count of a linked query; of one without a projection that is part of another, whether it has a row."""
+        if projected and not query.project:
+            return int(not self.rows(query, False).isEmpty())
+        return self.count(query).first()["n"]
 
 
 def join_count(planner: Planner, conditions: Sequence[tuple[str, int, str, str, int, str]], disjoint: bool = False, count_over: Sequence[Sequence[Term]] = ()) -> int:

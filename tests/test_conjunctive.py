@@ -139,3 +139,16 @@ def test_what_cannot_differ_is_not_planned(spark, monkeypatch):
     monkeypatch.setattr(p, "count", lambda q: pytest.fail("planned"))
     two = lambda t, col: Query(((t, 0), (t, 1)), (((t, 0, col), (t, 1, col)),), ((t, 0, col),), True)
     assert p.counts([two("o", "k"), two("n", "v")]) == [0, 0]
+
+
+def test_equal_counts_are_made_once(spark, monkeypatch):
+    c = catalog(spark, {"o": ("k int, c int", [(1, 1), (2, 1), (3, 2)]), "u": ("k int", [(1,), (2,), (5,)])}, {"o": ("k",), "u": ("k",)})
+    p, made = Planner(c), []
+    count = p.count
+    monkeypatch.setattr(p, "count", lambda q: made.append(q) or count(q))
+    on = lambda i, j: ((("o", i, "c"), ("u", j, "k")),)
+    asked = [Query((("o", i), ("u", j)), on(i, j), (t,)) for i, j in ((0, 0), (1, 0), (0, 1)) for t in (("o", i, "c"), ("u", j, "k"))]
+    apart = Query((("o", 0), ("u", 0), ("o", 1)), on(0, 0), (("u", 0, "k"), ("o", 1, "k")))
+    known = {}
+    assert p.counts(asked, known=known) == [2] * 6 and len(made) == 1
+    assert p.counts([*asked, apart], known=known) == [2] * 6 + [6] and len(made) == 2
