@@ -111,7 +111,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     total = files.groupBy("shard").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = total.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
-    return files.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    return files.join(F.broadcast(starts), "shard").select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:

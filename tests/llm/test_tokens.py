@@ -70,3 +70,18 @@ def test_words_merged_side_by_side():
     rng = np.random.default_rng(1)
     words = [bytes(rng.choice(list(b" abcdethinou'\xc3\xa9"), rng.integers(0, 60))) for _ in range(3000)]
     assert vocab.merge_many(words) == [np.array(vocab.merge(w), dtype="<i4").tobytes() for w in words]
+
+
+def test_reading_back_does_not_shuffle_the_ids(spark, tmp_path):
+    """The shards' starts are a row for each file; without a size to go by they would be met by a shuffle of all ids."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        token_files.write(spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string"), f"{tmp_path}/t", PATH)
+        rows = token_files.read(spark, f"{tmp_path}/t")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert rows.count() == 20
+    finally:
+        spark.conf.set(name, before)
