@@ -12,7 +12,11 @@ other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import codecs
+import json
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +24,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import resident, scratch, texts, tidy
-from rulequarry.llm.units import UnitEncoder
+from rulequarry.llm.common import PASSED, resident, scratch, texts, tidy
+from rulequarry.llm.units import LONG_UNIT, UnitEncoder
 
 END_ID = 0
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
 #: Units that are encoded as one text.
 JOINED_UNITS = 4096
+#: Units and words that a worker remembers; together they bound its memory.
+UNITS, WORDS = 600_000, 600_000
+
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_MARKS = r"[!-&(-/:-@\[-`{-~]*"
+#: Units whose words the vocabulary's expression tells apart alike: letters and marks, and such again after a line's end.
+_PLAIN = re.compile(f"( ?{_LETTERS})({_MARKS})(?:(\n)({_LETTERS})({_MARKS}))?")
+#: The pre-tokenizer that this holds for.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+#: The character that stands for each byte in a byte-level vocabulary.
+_BYTE_CHARS = "".join(chr(b if b in _SHOWN else 0x100 + sum(x not in _SHOWN for x in range(b))) for b in range(256))
+
+
+class _Words(dict):
+    """The ids of words of a byte-level vocabulary, asked of the library's model when first met."""
+
+    def __init__(self, model):
+        super().__init__({"": b""})
+        self._model = model
+
+    def __missing__(self, word: str) -> bytes:
+        shown = codecs.charmap_decode(word.encode(), "strict", _BYTE_CHARS)[0]
+        ids = array("i", [t.id for t in self._model.tokenize(shown)]).tobytes()
+        if len(word) <= LONG_UNIT:
+            self[word] = ids
+        return ids
 
 
 def _unit_encoder(vocabulary: str) -> UnitEncoder:
@@ -39,16 +70,26 @@ def _unit_encoder(vocabulary: str) -> UnitEncoder:
 
     size = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], dtype=np.int64)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    # Without a normalizer, and with this pre-tokenizer, the library asks its model for these very words.
+    pre = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+    plain = _PLAIN.fullmatch if tokenizer.normalizer is None and pre | _BYTE_LEVEL == pre else lambda u: None
+    words = _Words(tokenizer.model)
 
     def alone(batch: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<i4").tobytes() for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
     def units(batch: list[str]) -> list[bytes]:
-        """Units that begin with a lone space are encoded as one long text, and told apart by the bytes of their ids."""
-        out: list[bytes | None] = [None] * len(batch)
-        joined = [i for i, u in enumerate(batch) if u[:1] == " " and len(u.strip()) == len(u) - 1 > 0]
-        if any(x in "".join(batch) for x in special):
-            joined = [i for i in joined if not any(x in batch[i] for x in special)]
+        """Plain units are put together from their words; others that begin with a lone space are encoded as one long
+        text, and told apart by the bytes of their ids."""
+        if len(words) > WORDS:
+            words.clear()
+            words[""] = b""
+        word = words.__getitem__
+        out = [(m := plain(u)) and b"".join(map(word, m.groups(""))) for u in batch]
+        odd = {i for i, u in enumerate(batch) if any(x in u for x in special)} if any(x in "".join(batch) for x in special) else ()
+        for i in odd:
+            out[i] = None
+        joined = [i for i, u in enumerate(batch) if out[i] is None and u[:1] == " " and len(u.strip()) == len(u) - 1 > 0 and i not in odd]
         for a in range(0, len(joined), JOINED_UNITS):
             some = joined[a : a + JOINED_UNITS]
             ids = np.array(tokenizer.encode_batch_fast(["".join([batch[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<i4")
@@ -64,7 +105,7 @@ def _unit_encoder(vocabulary: str) -> UnitEncoder:
             out[i] = x
         return out
 
-    return UnitEncoder(units)
+    return UnitEncoder(units, UNITS)
 
 
 def _encoder(vocabulary: str) -> UnitEncoder:
@@ -83,7 +124,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, shard, before = _encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (whole.slice(a, PASSED) for whole in batches for a in range(0, len(whole), PASSED)):
             encoded = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
             n = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
             offsets = np.concatenate(([0], np.cumsum(n)))

@@ -85,3 +85,32 @@ def test_reading_back_does_not_shuffle_the_ids(spark, tmp_path):
         assert rows.count() == 20
     finally:
         spark.conf.set(name, before)
+
+
+def test_op5_asks_the_library_once_for_a_word_of_many_units(monkeypatch):
+    """Words are shared by units that differ in their marks and lines; units that are not plain go to the whole tokenizer."""
+    asked = []
+    missing = token_files._Words.__missing__
+    monkeypatch.setattr(token_files._Words, "__missing__", lambda self, word: asked.append(word) or missing(self, word))
+    texts = ["x one one, one. one!? one.\none, it's 5 one\n\none one.\tone", "y one.\nStraße Straße, (one) one"]
+    got = token_files._unit_encoder(PATH).encode(texts)
+    t = Tokenizer.from_file(PATH)
+    assert got == [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<i4").tobytes() for x in texts]
+    assert sorted(asked) == sorted(["x", "y", " one", "one", ",", ".", "!?", "\n", " Straße", "Straße"])
+
+
+@pytest.mark.parametrize("limit", [4, 100_000])
+def test_op5_units_equal_the_library(monkeypatch, tmp_path, limit):
+    """Letters, marks, line ends and spaces in any order, with an added token of letters and one of marks too."""
+    monkeypatch.setattr(token_files, "UNITS", limit)
+    monkeypatch.setattr(token_files, "WORDS", limit)
+    rng = np.random.default_rng(3)
+    parts = [" ", " ", " ", "\n", "\n", "the", "The", "é", "Ünd", "ñ", "ÿ", "×", "÷", "ª", "á", "ł", "日", ".", ",", "$$$", "'", "'s", "'ll", "-", "~", "`", "7", "\t", " ", "<|endoftext|>", "<|", "foo", "\x7f", "\xad"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(3000)]
+    own = Tokenizer.from_file(PATH)
+    own.add_tokens(["foo", "$$"])
+    own.save(str(tmp_path / "own.json"))
+    for path in (PATH, str(tmp_path / "own.json")):
+        t = Tokenizer.from_file(path)
+        want = [np.array(e.ids, dtype="<i4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert token_files._unit_encoder(path).encode(texts) == want
