@@ -31,7 +31,7 @@ HASH_BITS = 21
 #: N-grams that are kept, and rows that must hold one.
 KEPT = 8_000
 LEAST_ROWS = 4
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 17
 THRESHOLD = 0.5
 _BASE = np.uint32(0x9E3779B1)
 

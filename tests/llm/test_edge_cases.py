@@ -111,3 +111,26 @@ def test_classifiers_read_long_texts_whole(spark):
     for module, sign in ((toxicity, 1), (quality, -1)):
         scores = {r.doc_id: r.score for r in module.predictions(docs, module.train(docs, labels)).where("doc_id >= 1000").collect()}
         assert sign * (scores[1000] - scores[1001]) > 0
+
+
+def test_dropped_tables_go_before_the_next_task(monkeypatch):
+    """Tables that refer to each other must not wait for the collector: the next task's memory comes on top of them."""
+    import gc
+    import weakref
+
+    from rulequarry.llm import common
+
+    class Table:
+        pass
+
+    table = Table()
+    table.own, gone, given = table, weakref.ref(table), []
+    monkeypatch.setattr(common, "_RESIDENT", {})
+    monkeypatch.setattr(common, "give_back", lambda: given.append(gone() is None))
+    common.resident("one", lambda: table)
+    del table
+    gc.disable()
+    try:
+        assert list(common.tidy(lambda batches: iter([(gone() is None, list(given))]), "two")([])) == [(True, [True])]
+    finally:
+        gc.enable()
