@@ -27,20 +27,25 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm.common import resident, stored, texts, tidy
-from rulequarry.llm.units import UnitEncoder
+from rulequarry.llm.common import blocks, ranges, resident, stored, texts, tidy
+from rulequarry.llm.units import LONG_UNIT, UnitEncoder, plain_words
 
 #: Frequent words that the lexicon holds; bounds the file and what the driver reads.
 LEXICON_WORDS = 50_000
 #: Bytes of a word of the lexicon at most.
 WORD_BYTES = 32
-#: Distinct words that a counting task holds before it passes them on.
+#: Distinct units, and words, that a counting task holds before it passes them on.
 COUNTED = 200_000
+#: Words whose ids an encoder remembers before it starts afresh; bounds its memory.
+WORDS_KEPT = 300_000
 
 # Fixed value: the expression by which byte-level BPE vocabularies of this kind split text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Code points of texts whose ids are summed up at once.
+SUMMED_CHARS = 1 << 20
+
 #: Stands above every rank.
 NO_MERGE = 1 << 62
 
@@ -57,6 +62,22 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Strings:
+    """Byte strings by their number, to be joined many at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def joined(self, numbers: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The strings of each run of numbers joined; ends: where each run ends."""
+        lengths = self.lengths[numbers]
+        data = self.data[ranges(self.starts[numbers], lengths)].tobytes()
+        at = np.concatenate(([0], np.cumsum(lengths)))[ends].tolist()
+        return [data[a:b] for a, b in zip([0, *at], at, strict=False)]
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary: exact merging, and decoding."""
 
@@ -83,7 +104,8 @@ class Vocabulary:
         self._keys, self._pairs = self._pair_table()
         self.words = regex.compile(WORDS)
         self.splits = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.decimal = [b"%d" % i for i in range(size)]
+        #: The ids' decimal numbers with a comma after each, and their bytes.
+        self.decimal, self.raw = Strings([b"%d," % i for i in range(size)]), Strings(self.bytes_of)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -363,29 +385,40 @@ def count_words(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(word binary, n): how often each word occurs in all texts; docs as texts() gives them."""
 
     def counted(batches):
-        vocab = Vocabulary(vocabulary)
-        counts: Counter[str] = Counter()
+        find = regex.compile(WORDS).findall
+        starts: Counter[str] = Counter()
+        others: Counter[str] = Counter()
+        words: dict[str, int] = {}
+
+        def told_apart():
+            seen = words.get
+            for before, counts in (("", starts), (" ", others)):
+                for unit, n in counts.items():
+                    unit = before + unit
+                    for w in m.groups("") if (m := plain_words(unit)) else find(unit):
+                        words[w] = seen(w, 0) + n
+                counts.clear()
+            words.pop("", None)
 
         def given():
-            words: Counter[bytes] = Counter()
-            for unit, n in counts.items():
-                for w in vocab.words.findall(unit):
-                    words[w.encode()] += n
-            counts.clear()
-            return pd.DataFrame({"word": list(words), "n": list(words.values())})
+            out = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            words.clear()
+            return out
 
-        for pdf in batches:
-            for text in pdf["text"]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
                 first, *rest = text.split(" ")
-                counts[first] += 1
-                for u, n in Counter(rest).items():
-                    counts[" " + u] += n
-                if len(counts) > COUNTED:
-                    yield given()
-        if counts:
+                starts[first] += 1
+                others.update(rest)
+                if len(starts) + len(others) > COUNTED:
+                    told_apart()
+                    if len(words) > COUNTED:
+                        yield given()
+        told_apart()
+        if words:
             yield given()
 
-    return docs.select("text").mapInPandas(tidy(counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS) -> str:
@@ -414,22 +447,37 @@ class Encoder:
 
     def __init__(self, vocabulary: str, lexicon: Lexicon):
         self.vocab, self.lexicon = Vocabulary(vocabulary), lexicon
+        self._ids_of: dict[str, bytes] = {}
         self._units = UnitEncoder(self._encode_units)
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        pieces = [self.vocab.pieces(u) for u in units]
-        distinct = list({p for x in pieces for p in x})
+        special, known = self.vocab.special, self._ids_of
+        plain = plain_words if not any(map("".join(units).__contains__, special)) else lambda u: None
+        # All pieces in one list: a tuple or list for each unit would keep the garbage collector busy.
+        pieces, ends = [], []
+        for u in units:
+            pieces += m.groups("") if (m := plain(u)) else self.vocab.pieces(u)
+            ends.append(len(pieces))
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        known[""] = b""
+        distinct = list(set(pieces).difference(known))
         words = [p.encode() for p in distinct]
-        offset, ids, ids_of, unseen = self.lexicon.offset, self.lexicon.ids, {}, []
+        offset, ids, unseen = self.lexicon.offset, self.lexicon.ids, []
         for i, (piece, k) in enumerate(zip(distinct, self.lexicon.find(words).tolist(), strict=True)):
-            if piece in self.vocab.special:
-                ids_of[piece] = self.vocab.special[piece].to_bytes(4, "little")
+            if piece in special:
+                known[piece] = special[piece].to_bytes(4, "little")
             elif k >= 0:
-                ids_of[piece] = ids[offset[k] : offset[k + 1]].tobytes()
+                known[piece] = ids[offset[k] : offset[k + 1]].tobytes()
             else:
                 unseen.append(i)
-        ids_of.update(zip([distinct[i] for i in unseen], self.vocab.merge_many([words[i] for i in unseen]), strict=True))
-        return [b"".join(map(ids_of.__getitem__, x)) for x in pieces]
+        known.update(zip([distinct[i] for i in unseen], self.vocab.merge_many([words[i] for i in unseen]), strict=True))
+        found = list(map(known.__getitem__, pieces))
+        out = [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        for p in distinct:
+            if len(p) > LONG_UNIT:
+                del known[p]
+        return out
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b, dtype="<i4") for b in self._units.encode(batch)]
@@ -478,14 +526,15 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         encoder = _encoder(vocabulary, name)
-        decimal = encoder.vocab.decimal.__getitem__
+        vocab = encoder.vocab
         for pdf in batches:
-            n, given, decoded = [], [], []
-            for ids in encoder.encode(pdf["text"].tolist()):
-                x = ids.tolist()
-                n.append(len(x))
-                given.append(hashlib.sha256(b",".join(map(decimal, x))).hexdigest())
-                decoded.append(hashlib.sha256(encoder.vocab.decode(x).encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": given, "decoded_sha256": decoded})
+            given, n, listed, decoded = pdf["text"].tolist(), [], [], []
+            for a, b in blocks(given, SUMMED_CHARS):
+                ids = encoder.encode(given[a:b])
+                n += map(len, ids)
+                flat, ends = np.concatenate(ids), np.cumsum([len(x) for x in ids])
+                listed += [hashlib.sha256(x[:-1]).hexdigest() for x in vocab.decimal.joined(flat, ends)]
+                decoded += [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in vocab.raw.joined(flat, ends)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": listed, "decoded_sha256": decoded})
 
     return rows.mapInPandas(tidy(run, (vocabulary, name)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import codecs
 import json
-import re
 import zlib
 from array import array
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulequarry.llm.common import PASSED, resident, scratch, texts, tidy
-from rulequarry.llm.units import LONG_UNIT, UnitEncoder
+from rulequarry.llm.units import LONG_UNIT, UnitEncoder, plain_words
 
 END_ID = 0
 ROW_GROUP_BYTES = 8 << 20
@@ -35,11 +34,7 @@ JOINED_UNITS = 4096
 #: Units and words that a worker remembers; together they bound its memory.
 UNITS, WORDS = 600_000, 600_000
 
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-_MARKS = r"[!-&(-/:-@\[-`{-~]*"
-#: Units whose words the vocabulary's expression tells apart alike: letters and marks, and such again after a line's end.
-_PLAIN = re.compile(f"( ?{_LETTERS})({_MARKS})(?:(\n)({_LETTERS})({_MARKS}))?")
-#: The pre-tokenizer that this holds for.
+#: The pre-tokenizer that plain_words holds for.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 #: The character that stands for each byte in a byte-level vocabulary.
@@ -72,7 +67,7 @@ def _unit_encoder(vocabulary: str) -> UnitEncoder:
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     # Without a normalizer, and with this pre-tokenizer, the library asks its model for these very words.
     pre = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
-    plain = _PLAIN.fullmatch if tokenizer.normalizer is None and pre | _BYTE_LEVEL == pre else lambda u: None
+    plain = plain_words if tokenizer.normalizer is None and pre | _BYTE_LEVEL == pre else lambda u: None
     words = _Words(tokenizer.model)
 
     def alone(batch: list[str]) -> list[bytes]:

@@ -16,6 +16,11 @@ REMEMBERED = 800_000
 LONG_UNIT = 64
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_MARKS = r"[!-&(-/:-@\[-`{-~]*"
+#: Matches units whose words the usual expression tells apart alike: letters and marks, and such again after a line's
+#: end. Its groups are the words.
+plain_words = re.compile(f"( ?{_LETTERS})({_MARKS})(?:(\n)({_LETTERS})({_MARKS}))?").fullmatch
 
 
 class UnitEncoder:
@@ -63,28 +68,19 @@ class UnitEncoder:
 
     def _some(self, batch: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in batch]
-        firsts = self._first_units([u[0] for u in split])
-        known, new = self._known, set()
-        for k, units in enumerate(split):
-            fresh = {u for u in units[1:] if u not in known}
-            if units[0] == "" and len(units) > 1 or units[0][-1:].isspace() or "" in fresh or any(len(u.strip()) < len(u) for u in fresh):
-                split[k] = units = _BETWEEN.split(batch[k])
-                firsts[k] = self._encode_units(units[:1])[0]
-                fresh = {u for u in units[1:] if u not in known}
-            new |= fresh
-        if len(known) + len(new) > self._remembered:
-            new = set().union(*(s[1:] for s in split))
-        passing = self._learn(list(new))
-        get = _Both(known, passing).__getitem__ if passing else known.__getitem__
-        return [first + b"".join(map(get, units[1:])) for first, units in zip(firsts, split, strict=True)]
-
-
-class _Both:
-    """Two dictionaries, read as one."""
-
-    def __init__(self, first: dict, second: dict):
-        self._first, self._second = first, second
-
-    def __getitem__(self, key):
-        found = self._first.get(key)
-        return self._second[key] if found is None else found
+        heads, rests = [u[0] for u in split], [u[1:] for u in split]
+        firsts, known = self._first_units(heads), self._known
+        some = set().union(*rests)
+        new = some.difference(known)
+        # None of these is known: white space stands beside the space, so the text is cut where no other touches it.
+        odd = {u for u in new if not u or u[0].isspace() or u[-1].isspace()}
+        cut = [k for k, (head, rest) in enumerate(zip(heads, rests, strict=True)) if head == "" and rest or head[-1:].isspace() or odd and not odd.isdisjoint(rest)]
+        for k in cut:
+            head, *rests[k] = _BETWEEN.split(batch[k])
+            firsts[k] = self._encode_units([head])[0]
+        some = some.difference(odd).union(*(rests[k] for k in cut))
+        new = some.difference(known)
+        passing = self._learn(list(some if len(known) + len(new) > self._remembered else new))
+        # The block's own units in a small table: most occurrences are read from the processor's cache.
+        own = {u: known[u] for u in some if u in known} | passing
+        return [first + b"".join(map(own.__getitem__, rest)) for first, rest in zip(firsts, rests, strict=True)]

@@ -114,3 +114,21 @@ def test_op5_units_equal_the_library(monkeypatch, tmp_path, limit):
         t = Tokenizer.from_file(path)
         want = [np.array(e.ids, dtype="<i4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
         assert token_files._unit_encoder(path).encode(texts) == want
+
+
+def test_op9_looks_a_word_of_many_units_up_once(monkeypatch):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = bpe_lexicon.Encoder(vocabulary, bpe_lexicon.Lexicon.build({}))
+    asked, find = [], bpe_lexicon.Lexicon.find
+    monkeypatch.setattr(bpe_lexicon.Lexicon, "find", lambda self, words: asked.extend(words) or find(self, words))
+    texts = ["a zebra, a zebra. a  zebra\nzebra!", "a zebra;\u00a0 zebra \n a zebra", " zebra's <|endoftext|> zebra", "zebra " + "x" * 80 + " zebra", ""]
+    library = Tokenizer.from_file(vocabulary)
+    for text in texts:
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked.count(b" zebra") == 1
+
+
+def test_strings_are_joined_by_run():
+    strings = bpe_lexicon.Strings([b"a,", b"", b"bcd,"])
+    assert strings.joined(np.array([2, 0, 1, 1, 2]), np.array([0, 2, 4, 4, 5])) == [b"", b"bcd,a,", b"", b"", b"bcd,"]
+    assert strings.joined(np.zeros(0, dtype=np.int32), np.array([0, 0])) == [b"", b""]
