@@ -3,11 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from rulequarry.llm import bpe_lexicon, token_files
-from rulequarry.llm.units import UnitEncoder
+from rulequarry.llm.units import UnitEncoder, plain_words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -132,3 +133,50 @@ def test_strings_are_joined_by_run():
     strings = bpe_lexicon.Strings([b"a,", b"", b"bcd,"])
     assert strings.joined(np.array([2, 0, 1, 1, 2]), np.array([0, 2, 4, 4, 5])) == [b"", b"bcd,a,", b"", b"", b"bcd,"]
     assert strings.joined(np.zeros(0, dtype=np.int32), np.array([0, 0])) == [b"", b""]
+
+
+def test_op5_looks_a_word_up_once_for_all_units_of_a_block(monkeypatch):
+    class Counted(token_files._Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    asked = []
+    monkeypatch.setattr(token_files, "_Words", Counted)
+    texts = ["x one one, one. one!\none", "x one, one;\none one"] * 50
+    t = Tokenizer.from_file(PATH)
+    assert token_files._unit_encoder(PATH).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<i4").tobytes() for x in texts]
+    assert sorted(asked) == sorted(["x", " one", ",", ".", "!", "\n", "one", ";"])
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_op5_small_blocks_and_parts_of_columns(monkeypatch, kind):
+    """White space of every length beside spaces, texts that a block or a part of the rows ends in, empty ones, columns cut out of others."""
+    monkeypatch.setattr(token_files, "ENCODED_BYTES", 90)
+    monkeypatch.setattr(token_files, "PASSED", 3)
+    rng = np.random.default_rng(5)
+    parts = [" "] * 12 + ["the", "à", "é.", "ÿ", "Å", "…", "”", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u200a", "\u200b", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\u3001", "🙂", "7", "'s", "<|endoftext|>"]
+    texts = ["", " ", *("".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(2000)), " ", ""]
+    t = Tokenizer.from_file(PATH)
+    want = [[*e.ids, 9] for e in t.encode_batch(texts, add_special_tokens=False)]
+    encoder, column = token_files._unit_encoder(PATH), pa.array(texts, kind)
+    for a, b in ((0, len(texts)), (2, 2), (0, 1), (len(texts) - 1, len(texts)), (3, 500)):
+        got = [(n.tolist(), ids.tolist()) for n, ids in encoder.arrays(column.slice(a, b - a), 9)]
+        assert sum((n for n, _ in got), []) == [len(x) for x in want[a:b]]
+        assert sum((ids for _, ids in got), []) == sum(want[a:b], [])
+
+
+def test_op5_word_bounds_are_those_of_plain_words():
+    rng = np.random.default_rng(6)
+    parts = ["a", "Z", "é", "À", "ÿ", "×", "÷", "²", "ł", ",", "`", "~", "'", "\n", "\x7f", "0", "\u3000"]
+    units = ["".join(rng.choice(["", " "], 1)) + "".join(rng.choice(parts[: rng.integers(1, len(parts) + 1)], rng.integers(1, 7))) for _ in range(5000)]
+    units += ["".join(x) for x in rng.choice(["a", "é", ",", "\n", " "], (5000, 5))]
+    at = np.cumsum([0, *(len(u.encode()) for u in units)])
+    starts, plain = token_files._word_bounds(np.frombuffer("".join(units).encode(), dtype=np.uint8), at, np.zeros(len(units), dtype=bool))
+    want = []
+    for u, a in zip(units, at.tolist(), strict=False):
+        for w in [x for x in m.groups("") if x] if (m := plain_words(u)) else [u]:
+            want.append((a, m is not None))
+            a += len(w.encode())
+    assert list(zip(starts.tolist(), plain.tolist(), strict=True)) == want
+    assert 500 < sum(plain_words(u) is not None for u in units) < 9500
