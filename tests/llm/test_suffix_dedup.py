@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rulequarry.llm import suffix_dedup as s
@@ -66,5 +67,49 @@ def test_suffix_array_and_prefixes():
             assert prefix[k] == next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
 
 
+def test_long_and_repetitive_buffers():
+    rng = np.random.default_rng(5)
+    base = rng.integers(97, 101, 900).astype(np.uint8).tobytes()
+    near = [base[: (cut := int(rng.integers(900)))] + bytes([int(rng.integers(97, 101))]) + base[cut + 1 :] for _ in range(160)]
+    for data in (b"\xff".join(near[:60]), b"\xff".join(near), b"a" * 3000, b"\0" * 50 + b"ab\0" * 900):
+        buf = np.frombuffer(data, dtype=np.uint8)
+        order = s.suffix_array(buf)
+        assert np.array_equal(np.sort(order), np.arange(len(buf)))
+        prefix = s.common_prefixes(buf, order)
+        for k in range(1, len(buf)):
+            i, j, n = int(order[k - 1]), int(order[k]), int(prefix[k])
+            assert data[i : i + n] == data[j : j + n] and data[i:] < data[j:]
+            assert n == 400 or data[i + n : i + n + 1] != data[j + n : j + n + 1]
+
+
+def test_anchors_meet_in_narrow_shards(monkeypatch):
+    rng = random.Random(6)
+    rows, wanted = [], {}
+    for anchor in range(90):
+        base = bytes(rng.choices(b"abcd", k=700))
+        for _ in range(120 if anchor == 40 else rng.choice([2, 3, 9])):
+            cut = rng.randrange(700)
+            rows.append((anchor, 0, 1, b"", 301, 1, base[:cut] + b"x" + base[cut + 1 :]))
+        own = {r[6] for r in rows if r[0] == anchor}
+        counts = {}
+        for c in own:
+            for i in range(301):
+                counts[c[i : i + 400]] = counts.get(c[i : i + 400], 0) + 1
+        for c in own:
+            wanted[c] = [i for i in range(301) if counts[c[i : i + 400]] > 1]
+    rows = [(*r[:3], hashlib.sha256(r[6]).digest(), *r[4:]) for r in {r[6]: r for r in rows}.values()]
+    names = ("anchor", "salt", "shares", "digest", "windows", "copies", "context")
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 37], strict=True)], names=names) for a in range(0, len(rows), 37)]
+    sizes, build = [], s.suffix_array
+    monkeypatch.setattr(s, "suffix_array", lambda buf: sizes.append(len(buf)) or build(buf))
+    found = {d[0]: f for b in s._shards(iter(batches)) for d, f in zip(b.column("digests").to_pylist(), b.column("flat").to_pylist(), strict=True)}
+    for r in rows:
+        flat = found.get(r[3], [])
+        assert [i for a, b in zip(flat[::2], flat[1::2], strict=True) for i in range(a, b)] == wanted[r[6]]
+    assert sum(sizes) == sum(len(r[6]) + 1 for r in rows) and len(sizes) < 20
+    # Only the one anchor that needs more has a suffix array of 64 KB or more, and has it alone.
+    assert [n for n in sizes if n >= 1 << 16] == [sum(len(r[6]) + 1 for r in rows if r[0] == 40)]
+
+
 def test_empty(spark):
     assert s.digest(s.strip(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
